@@ -14,16 +14,22 @@ Plan
    n shingles must share one of its first n - ceil(0.75 n) + 1 with any partner,
    and sets whose shared shingles weigh too little drop out.  Only elements in
    that prefix carry the set on.
-4. Sets that share a prefix element meet in a block.  The block stores them in a
+4. Sets that share a prefix element meet in a group.  The group stores them in a
    trie, and each set walks it: partial overlaps are shared along common
    prefixes, a subtree is left when its remaining weight can't reach the bound,
-   or when all of it is linked to the walker already.  A block reports a
+   or when all of it is linked to the walker already.  A group reports a
    spanning forest of its links, not all pairs.
+   Copies of one text share most prefix elements, so groups are formed in three
+   rounds: each set under its rarest element only; under elements whose sets are
+   not one component yet, a set per component; and at last all sets of the
+   elements that are still mixed.  The first two only save work, the last one
+   makes the join exact: two sets of different components that share a prefix
+   element always meet.
 5. Connected components of the links; the smallest doc_id names one.
 
-An element held by more than BLOCK sets is split: sets are dealt to BLOCK-sized
-parts, and every pair of parts meets in a block of its own, so no task holds an
-unbounded group.
+A group is split above BLOCK sets.  In the last round sets are dealt to parts of
+that size and every pair of parts meets in a group of its own, so no task holds
+an unbounded group.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing;
 texts under five words are one shingle; repeated rows give repeated results; a
@@ -32,6 +38,7 @@ null doc_id stays null; other columns of the input are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +47,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import (
-    U64, UnionFind, batches_of, bucket_count, connected_components, deal, joined, materialise, mix64, runs, shingle_sets,
+    U64, UnionFind, batches_of, bucket_count, connected_components, deal, joined, materialise, mix64, pack, plan_bytes, runs, shingle_sets,
 )
 
 BLOCK = 512
-HELD = 1 << 20  # shingles a map task holds before it deals them
+HELD = 1 << 21  # shingles a map task holds before it deals them
+BUCKET_BYTES = 8 << 20  # input per bucket: wide buckets hold several shingles of a text, which then share its name
+LEAST_BUCKETS = 64
 _POSTING, _SIDE = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 
@@ -73,12 +82,13 @@ def _dealt_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         counts = np.array([len(s) for s in held.values()])
         shingles = np.concatenate(list(held.values()))
         owner = np.repeat(np.arange(len(held)), counts)
-        bucket = (shingles >> U64(20)) % U64(buckets)
+        bucket = (shingles >> U64(40)) % U64(buckets)
         order = np.lexsort((owner, bucket))
         bucket, owner, shingles = bucket[order], owner[order], shingles[order]
         heads = runs(bucket, owner)
         parts = deal(bucket[heads], {"sets": digests[owner[heads]], "sizes": counts[owner[heads]].astype(np.uint32), "counts": np.diff(np.append(heads, len(owner))).astype(np.uint32)})
-        return pa.RecordBatch.from_arrays([*parts.columns, deal(bucket, {"shingles": shingles}).column("shingles")], names=["bucket", "sets", "sizes", "counts", "shingles"])
+        low = deal(bucket, {"low": shingles.astype(np.uint32), "mid": (shingles >> U64(32)).astype(np.uint16)})
+        return pa.RecordBatch.from_arrays([*parts.columns, *low.columns[1:]], names=["bucket", "sets", "sizes", "counts", "low", "mid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -94,7 +104,7 @@ def _dealt_shingles(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         if held:
             yield cell_rows(held)
 
-    return docs.select("text").mapInArrow(run, "bucket long, sets binary, sizes binary, counts binary, shingles binary")
+    return docs.select("text").mapInArrow(run, "bucket long, sets binary, sizes binary, counts binary, low binary, mid binary")
 
 
 def _elements(buckets: int):
@@ -104,7 +114,7 @@ def _elements(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         counts = joined(table["counts"], np.uint32)
         sets, sizes = np.repeat(joined(table["sets"], U64), counts), np.repeat(joined(table["sizes"], np.uint32), counts)
-        shingles = joined(table["shingles"], U64)
+        shingles = joined(table["mid"], np.uint16).astype(U64) << U64(32) | joined(table["low"], np.uint32)  # 48 bits within a bucket
         order = np.lexsort((sets, shingles))
         sets, sizes, shingles = sets[order], sizes[order], shingles[order]
         once = runs(shingles, sets)
@@ -125,10 +135,9 @@ def _elements(buckets: int):
     return run, schema
 
 
-def _prefixes(buckets: int, percent: int, block: int):
-    """Per set bucket: each set under the keys of its prefix elements, with its whole ordered element list, dealt by key."""
-    schema = "bucket long, keys binary, owners binary, sets binary, sizes binary, lengths binary, elements binary, weights binary"
-    empty = pa.table({"bucket": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("keys", "owners", "sets", "sizes", "lengths", "elements", "weights")}})
+def _prefixes(percent: int):
+    """Per set bucket: the sets that can have a partner, with their prefix keys and their whole ordered element lists."""
+    names = ["set", "size", "keys", "elements", "weights"]
 
     def run(table: pa.Table) -> pa.Table:
         sets, sizes, posts = joined(table["sets"], U64), joined(table["sizes"], np.uint32).astype(np.int64), joined(table["posts"], U64)
@@ -141,42 +150,22 @@ def _prefixes(buckets: int, percent: int, block: int):
         # the global order: rarest first, then by the posting list's name
         element = np.minimum(df, 0xFFFF).astype(U64) << U64(48) | posts >> U64(16)
         order = np.lexsort((element, sets))
-        sets, sizes, df, weight, element = (x[order] for x in (sets, sizes, df, weight, element))
+        sets, sizes, weight, element = (x[order] for x in (sets, sizes, weight, element))
+        out: list[tuple] = []
         heads = runs(sets)
-        if not len(heads):
-            return empty
-        counts = np.diff(np.append(heads, len(sets)))
-        cum = np.cumsum(weight)
-        before = cum - weight - np.repeat(cum[heads] - weight[heads], counts)
-        shared = np.repeat(np.add.reduceat(weight, heads), counts)
-        need = -(-percent * sizes // 100)
-        live = (shared >= need) & (sizes - shared + before <= sizes - need)
-        row = np.flatnonzero(live)
-        if not len(row):
-            return empty
-        # one key per prefix element; a hot element has a key per pair of parts
-        parts = -(-df[row].astype(np.int64) // block)
-        own = (mix64(sets[row] ^ _SIDE) % parts.astype(U64)).astype(np.int64)
-        at = np.repeat(np.arange(len(row)), parts)
-        other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-        low, high = np.minimum(own[at], other), np.maximum(own[at], other)
-        key = mix64(element[row][at] + mix64((low << 32 | high).astype(U64)))
-        owner = (np.cumsum(np.isin(np.arange(len(sets)), heads)) - 1)[row][at]
-        bucket = key % U64(buckets)
-        order = np.lexsort((owner, bucket))
-        key, owner, bucket = key[order], owner[order], bucket[order]
-        once = runs(bucket, owner)  # a set goes once to a bucket, whatever its keys there
-        rank = np.cumsum(np.isin(np.arange(len(key)), once)) - 1
-        first = rank[runs(bucket)]
-        local = rank - np.repeat(first, np.diff(np.append(runs(bucket), len(bucket))))
-        out = deal(bucket, {"keys": key, "owners": local.astype(np.uint32)})
-        who, lengths = owner[once], counts[owner[once]]
-        sent = deal(bucket[once], {"sets": sets[heads][who], "sizes": sizes[heads][who].astype(np.uint32), "lengths": lengths.astype(np.uint32)})
-        flat = np.repeat(heads[who] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        lists = deal(np.repeat(bucket[once], lengths), {"elements": element[flat], "weights": weight[flat].astype(np.uint32)})
-        return pa.table([*out.columns, *sent.columns[1:], *lists.columns[1:]], names=["bucket", "keys", "owners", "sets", "sizes", "lengths", "elements", "weights"])
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(sets)], strict=True):
+            w, n = weight[a:b], int(sizes[a])
+            shared, need = int(w.sum()), -(-percent * n // 100)
+            if shared >= need:
+                before = np.cumsum(w) - w
+                keys = element[a:b][n - shared + before <= n - need]
+                if len(keys):
+                    out.append((int(sets[a : a + 1].astype(np.int64)[0]), n, keys.astype(np.int64).tolist(), pack(element[a:b]), pack(w.astype(np.uint32))))
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return run, schema
+    return run, "set long, size long, keys array<long>, elements binary, weights binary"
 
 
 class Trie:
@@ -226,9 +215,7 @@ class Trie:
                 if m != x and (100 + percent) * overlap >= percent * (size + self.sizes[m]):
                     yield m
             for e, c in self.child[node].items():
-                j = i
-                while j < len(mine) and mine[j] < e:
-                    j += 1
+                j = bisect_left(mine, e, i)
                 got = overlap
                 if j < len(mine) and mine[j] == e:
                     got, j = overlap + self.weight[c], j + 1
@@ -237,29 +224,34 @@ class Trie:
 
 
 def _block_links(percent: int):
-    """Per key bucket: a spanning forest of the links among the sets that share a key."""
+    """Per bucket of groups: a spanning forest of the links among the sets of each group; sets with one label are linked already."""
 
     def run(table: pa.Table) -> pa.Table:
-        n_sets = [len(x) // 8 for x in table["sets"].to_pylist()]
-        n_keys = [len(x) // 8 for x in table["keys"].to_pylist()]
-        offsets = np.cumsum([0, *n_sets])[:-1]
-        names, sizes = joined(table["sets"], U64), joined(table["sizes"], np.uint32).tolist()
-        lengths = joined(table["lengths"], np.uint32)
-        keys, owners = joined(table["keys"], U64), joined(table["owners"], np.uint32) + np.repeat(offsets, n_keys)
-        cuts = np.cumsum(lengths)[:-1]
-        lists = [x.tolist() for x in np.split(joined(table["elements"], U64), cuts)]
-        weights = [x.tolist() for x in np.split(joined(table["weights"], np.uint32), cuts)]
+        rows = table.select(["grp", "set", "size", "label"]).to_pydict()
+        place: dict[int, int] = {}
+        own = [place.setdefault(x, len(place)) for x in rows["set"]]
+        first = [own.index(i) for i in range(len(place))] if len(place) < 64 else np.unique(own, return_index=True)[1].tolist()
+        cell = {c: table[c].combine_chunks() for c in ("elements", "weights")}
+        names, sizes = list(place), [rows["size"][i] for i in first]
+        lists = [np.frombuffer(cell["elements"][i].as_buffer(), U64).tolist() for i in first]
+        weights = [np.frombuffer(cell["weights"][i].as_buffer(), np.uint32).tolist() for i in first]
         sets, links = UnionFind(len(names)), []
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        heads = runs(keys)
-        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True):
-            members = sorted({int(m) for m in owners[a:b]}, key=lambda m: lists[m])
+        labels: dict[int, int] = {}
+        for x, label in zip(own, rows["label"], strict=True):
+            sets.union(x, labels.setdefault(label, x))
+        groups: dict[int, set[int]] = {}
+        for x, grp in zip(own, rows["grp"], strict=True):
+            groups.setdefault(grp, set()).add(x)
+        for members in groups.values():
             if len({sets.find(m) for m in members}) < 2:
                 continue
+            members = sorted(members, key=lambda m: lists[m])
             trie = Trie(members, lists, weights, sizes)
-            fresh = 1
+            trie.settle(sets)
+            fresh = 0
             for x in members:
+                if trie.linked[0]:
+                    break
                 for m in trie.walk(x, percent, sets):
                     if sets.union(x, m):
                         links.append((names[x], names[m]))
@@ -267,9 +259,7 @@ def _block_links(percent: int):
                 if fresh * 16 >= len(members) or fresh >= 64:
                     trie.settle(sets)
                     fresh = 0
-                    if trie.linked[0]:
-                        break
-        pairs = np.array(links, U64).reshape(-1, 2).astype(np.int64)
+        pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run, "a long, b long"
@@ -277,11 +267,38 @@ def _block_links(percent: int):
 
 def set_links(docs: DataFrame, percent: int = 75, words: int = 5, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between digests of distinct shingle sets; they span each component."""
-    buckets = bucket_count(docs)
+    buckets = max(LEAST_BUCKETS, plan_bytes(docs) // BUCKET_BYTES)
+    wide = bucket_count(docs)
     out = _dealt_shingles(docs, words, buckets)
-    for run, schema in (_elements(buckets), _prefixes(buckets, percent, block), _block_links(percent)):
+    for run, schema in (_elements(buckets), _prefixes(percent)):
         out = out.groupBy("bucket").applyInArrow(run, schema)
-    return out
+    sets = materialise(out, "prefix-sets")
+    run, schema = _block_links(percent)
+
+    def linked(members: DataFrame) -> DataFrame:
+        """members: grp, set, label."""
+        rows = members.join(sets.drop("keys"), "set").select(F.expr(f"pmod(grp, {wide})").alias("bucket"), "grp", "set", "size", "label", "elements", "weights")
+        return materialise(rows.groupBy("bucket").applyInArrow(run, schema), "set-links")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """(key, set, label) under every key whose sets aren't one component yet."""
+        roots = connected_components(links).withColumnsRenamed({"node": "set", "root": "label"})
+        held = sets.select("set", F.explode("keys").alias("key")).join(roots, "set", "left").select("key", "set", F.coalesce("label", "set").alias("label"))
+        mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        return held.join(mixed.select("key", "n"), "key")
+
+    spread = F.expr(f"xxhash64(key, pmod(xxhash64(set), greatest(1, cast(ceil(n / {block}) AS int))))")
+    # each set under its rarest key only; then a set per component under each mixed key; then all sets of keys that stay mixed
+    counted = sets.select("set", F.col("keys")[0].alias("key"))
+    counted = counted.join(counted.groupBy("key").agg(F.count("*").alias("n")), "key").where("n > 1")
+    links = linked(counted.select(spread.alias("grp"), "set", F.col("set").alias("label")))
+    chosen = labelled(links).groupBy("key", "label").agg(F.min("set").alias("set"), F.max("n").alias("n"))
+    links = links.unionByName(linked(chosen.select(spread.alias("grp"), "set", "label")))
+    parts = F.expr(f"greatest(1, cast(ceil(n / {block}) AS int))")
+    mixed = materialise(labelled(links).withColumn("parts", parts).withColumn("own", F.expr("pmod(xxhash64(set, 1), parts)")), "mixed-keys")
+    pairs = mixed.select("set", "label", "key", "own", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    pairs = pairs.select(F.expr("xxhash64(key, least(own, other), greatest(own, other))").alias("grp"), "set", "label")
+    return links.unionByName(linked(pairs))
 
 
 def ngram_components(docs: DataFrame, percent: int = 75, words: int = 5, block: int = BLOCK) -> DataFrame:
