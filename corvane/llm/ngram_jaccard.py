@@ -14,11 +14,12 @@ Plan
    n shingles must share one of its first n - ceil(0.75 n) + 1 with any partner,
    and sets whose shared shingles weigh too little drop out.  Only elements in
    that prefix carry the set on.
-4. Sets that share a prefix element meet in a group.  The group stores them in a
-   trie, and each set walks it: partial overlaps are shared along common
-   prefixes, a subtree is left when its remaining weight can't reach the bound,
-   or when all of it is linked to the walker already.  A group reports a
-   spanning forest of its links, not all pairs.
+4. Sets that share a prefix element meet in a group.  Elements that the same members
+   hold become one; then the group stores the ordered lists in a trie and carries
+   all sets down the tree together: partial overlaps are shared along common
+   prefixes, and a subtree is left by the sets whose remaining weight, or its own,
+   can't reach the bound.  A group reports a spanning forest of its links, not
+   all pairs.
    Copies of one text share most prefix elements, so groups are formed in three
    rounds: each set under its rarest element only; under elements whose sets are
    not one component yet, a set per component; and at last all sets of the
@@ -38,7 +39,6 @@ null doc_id stays null; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,58 +169,78 @@ def _prefixes(percent: int):
 
 
 class Trie:
-    """Ordered element lists as a prefix tree; walk() finds a list's partners."""
-
-    def __init__(self, members: list[int], lists: list[list[int]], weights: list[list[int]], sizes: list[int]):
-        self.lists, self.weights, self.sizes = lists, weights, sizes
-        self.child: list[dict[int, int]] = [{}]
-        self.weight, self.rest, self.least, self.ends, self.any = [0], [0], [1 << 60], [[]], [-1]
-        self.linked = [False]
-        for m in members:
-            node, rest = 0, sum(weights[m])
-            for i in range(len(lists[m]) + 1):
+    """Ordered element lists as a prefix tree; links() carries all lists down the tree at once.
+
+    members are global numbers in list order; inside the tree they are 0..m-1 in that order, so a subtree holds a range of them.
+    """
+
+    def __init__(self, members: list[int], lists: dict[int, list[int]], weights: dict[int, list[int]], sizes: list[int]):
+        self.members, self.size = members, np.array([sizes[m] for m in members], np.int64)
+        self.child: list[list[int]] = [[]]
+        self.element, self.weight, self.rest, self.least, self.ends, self.first = [-1], [0], [0], [1 << 60], [[]], [0]
+        width = 1 + max((lists[m][-1] for m in members if lists[m]), default=0)
+        self.has = np.zeros((len(members), width + 1), np.int64)  # weight of an element in a list, 0 without it
+        path, walked = [0], []
+        for i, m in enumerate(members):
+            own, w = lists[m], weights[m]
+            self.has[i, own] = w
+            same = 0
+            while same < min(len(own), len(walked)) and own[same] == walked[same]:
+                same += 1
+            del path[same + 1 :]
+            for e, x in zip(own[same:], w[same:], strict=True):
+                self.child[path[-1]].append(len(self.child))
+                path.append(len(self.child))
+                for store, value in ((self.child, []), (self.element, e), (self.weight, x), (self.rest, 0), (self.least, 1 << 60), (self.ends, []), (self.first, i)):
+                    store.append(value)
+            walked, rest = own, sum(w)
+            for at, node in enumerate(path):
                 self.rest[node] = max(self.rest[node], rest)
                 self.least[node] = min(self.least[node], sizes[m])
-                self.any[node] = m
-                if i == len(lists[m]):
-                    self.ends[node].append(m)
-                    break
-                e, w = lists[m][i], weights[m][i]
-                nxt = self.child[node].get(e)
-                if nxt is None:
-                    nxt = self.child[node][e] = len(self.child)
-                    for store, value in ((self.child, {}), (self.weight, w), (self.rest, 0), (self.least, 1 << 60), (self.ends, []), (self.any, -1), (self.linked, False)):
-                        store.append(value)
-                rest -= w
-                node = nxt
-
-    def settle(self, sets: UnionFind) -> None:
-        """Mark the subtrees whose lists all belong to one component."""
-        for node in range(len(self.child) - 1, -1, -1):  # children have higher numbers
-            if not self.linked[node]:
-                root = sets.find(self.any[node])
-                self.linked[node] = all(self.linked[c] and sets.find(self.any[c]) == root for c in self.child[node].values()) and all(sets.find(m) == root for m in self.ends[node])
-
-    def walk(self, x: int, percent: int, sets: UnionFind) -> Iterator[int]:
-        mine, weights, size = self.lists[x], self.weights[x], self.sizes[x]
-        rest = [0] * (len(mine) + 1)
-        for i in range(len(mine) - 1, -1, -1):
-            rest[i] = rest[i + 1] + weights[i]
-        stack = [(0, 0, 0)]
+                rest -= w[at] if at < len(w) else 0
+            self.ends[path[-1]].append(i)
+        self.after = np.zeros_like(self.has)  # weight of a list's elements beyond one
+        self.after[:, :-1] = np.cumsum(self.has[:, :0:-1], axis=1)[:, ::-1]
+
+    def links(self, percent: int, sets: UnionFind) -> Iterator[tuple[int, int]]:
+        """Pairs of members that link and weren't in one component of sets, which is kept up."""
+        root = np.array([sets.find(m) for m in self.members])
+        m = len(self.members)
+        stack = [(0, np.arange(m), np.zeros(m, np.int64))]
         while stack:
-            node, overlap, i = stack.pop()
-            if self.linked[node] and sets.find(self.any[node]) == sets.find(x):
-                continue
-            for m in self.ends[node]:
-                if m != x and (100 + percent) * overlap >= percent * (size + self.sizes[m]):
-                    yield m
-            for e, c in self.child[node].items():
-                j = bisect_left(mine, e, i)
-                got = overlap
-                if j < len(mine) and mine[j] == e:
-                    got, j = overlap + self.weight[c], j + 1
-                if (100 + percent) * (got + min(rest[j], self.rest[c])) >= percent * (size + self.least[c]):
-                    stack.append((c, got, j))
+            node, who, overlap = stack.pop()
+            for y in self.ends[node]:
+                for x in who[(who > y) & ((100 + percent) * overlap >= percent * (self.size[who] + self.size[y])) & (root[who] != root[y])].tolist():
+                    if sets.union(self.members[x], self.members[y]):
+                        yield self.members[x], self.members[y]
+            for c in self.child[node]:
+                e = self.element[c]
+                got = overlap + self.has[who, e]
+                able = (who > self.first[c]) & ((100 + percent) * (got + np.minimum(self.after[who, e], self.rest[c])) >= percent * (self.size[who] + self.least[c]))
+                if able.any():
+                    stack.append((c, who[able], got[able]))
+
+
+def condensed(members: list[int], elements: list[np.ndarray], weights: list[np.ndarray]) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """The members' ordered lists for one group: elements that the same members hold become one, those of a single member go."""
+    counts = [len(elements[m]) for m in members]
+    el, w, who = np.concatenate([elements[m] for m in members]), np.concatenate([weights[m] for m in members]), np.repeat(np.arange(len(members)), counts)
+    order = np.argsort(el, kind="stable")
+    el, w, who = el[order], w[order], who[order]
+    heads = runs(el)
+    held = np.diff(np.append(heads, len(el)))
+    name = np.add.reduceat(mix64(np.arange(1, len(members) + 1, dtype=U64))[who], heads, dtype=U64)
+    shared = np.flatnonzero(held > 1)
+    lists, sizes = {m: [] for m in members}, {m: [] for m in members}
+    if len(shared):
+        _, first, own = np.unique(name[shared], return_index=True, return_inverse=True)
+        total = np.bincount(own, w[heads[shared]]).astype(np.int64)
+        for rank, k in enumerate(np.argsort(first, kind="stable").tolist()):  # by their first element: still the global order
+            at = heads[shared[first[k]]]
+            for m in who[at : at + held[shared[first[k]]]].tolist():
+                lists[members[m]].append(rank)
+                sizes[members[m]].append(int(total[k]))
+    return lists, sizes
 
 
 def _block_links(percent: int):
@@ -233,8 +253,8 @@ def _block_links(percent: int):
         first = [own.index(i) for i in range(len(place))] if len(place) < 64 else np.unique(own, return_index=True)[1].tolist()
         cell = {c: table[c].combine_chunks() for c in ("elements", "weights")}
         names, sizes = list(place), [rows["size"][i] for i in first]
-        lists = [np.frombuffer(cell["elements"][i].as_buffer(), U64).tolist() for i in first]
-        weights = [np.frombuffer(cell["weights"][i].as_buffer(), np.uint32).tolist() for i in first]
+        elements = [np.frombuffer(cell["elements"][i].as_buffer(), U64) for i in first]
+        weights = [np.frombuffer(cell["weights"][i].as_buffer(), np.uint32) for i in first]
         sets, links = UnionFind(len(names)), []
         labels: dict[int, int] = {}
         for x, label in zip(own, rows["label"], strict=True):
@@ -245,20 +265,11 @@ def _block_links(percent: int):
         for members in groups.values():
             if len({sets.find(m) for m in members}) < 2:
                 continue
-            members = sorted(members, key=lambda m: lists[m])
-            trie = Trie(members, lists, weights, sizes)
-            trie.settle(sets)
-            fresh = 0
-            for x in members:
-                if trie.linked[0]:
-                    break
-                for m in trie.walk(x, percent, sets):
-                    if sets.union(x, m):
-                        links.append((names[x], names[m]))
-                        fresh += 1
-                if fresh * 16 >= len(members) or fresh >= 64:
-                    trie.settle(sets)
-                    fresh = 0
+            lists, own_weights = condensed(sorted(members), elements, weights)
+            members = sorted((m for m in members if 100 * sum(own_weights[m]) >= percent * sizes[m]), key=lambda m: lists[m])
+            if len({sets.find(m) for m in members}) < 2:
+                continue
+            links += [(names[x], names[m]) for x, m in Trie(members, lists, own_weights, sizes).links(percent, sets)]
         pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -284,7 +295,9 @@ def set_links(docs: DataFrame, percent: int = 75, words: int = 5, block: int = B
         """(key, set, label) under every key whose sets aren't one component yet."""
         roots = connected_components(links).withColumnsRenamed({"node": "set", "root": "label"})
         held = sets.select("set", F.explode("keys").alias("key")).join(roots, "set", "left").select("key", "set", F.coalesce("label", "set").alias("label"))
-        mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        who = F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who")
+        mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), who).where("low <> high")
+        mixed = mixed.groupBy("who", "n").agg(F.min("key").alias("key"))  # keys of the same sets are one
         return held.join(mixed.select("key", "n"), "key")
 
     spread = F.expr(f"xxhash64(key, pmod(xxhash64(set), greatest(1, cast(ceil(n / {block}) AS int))))")
