@@ -184,7 +184,7 @@ def deal(bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row per bucket that occurs, with each array's entries of it packed in their order."""
     order = np.argsort(bucket, kind="stable")
     buckets, begins = np.unique(bucket[order], return_index=True)
-    ends = np.append(begins[1:], len(order))
+    ends = np.append(begins, len(order))[1:]
     names, out = ["bucket"], [pa.array(buckets.astype(np.int64))]
     for name, values in arrays.items():
         values = values[order]

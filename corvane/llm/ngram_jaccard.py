@@ -153,7 +153,7 @@ def _prefixes(percent: int):
         sets, sizes, weight, element = (x[order] for x in (sets, sizes, weight, element))
         out: list[tuple] = []
         heads = runs(sets)
-        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(sets)], strict=True):
+        for a, b in zip(heads.tolist(), np.append(heads, len(sets))[1:].tolist(), strict=True):
             w, n = weight[a:b], int(sizes[a])
             shared, need = int(w.sum()), -(-percent * n // 100)
             if shared >= need:
