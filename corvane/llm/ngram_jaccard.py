@@ -171,76 +171,74 @@ def _prefixes(percent: int):
 class Trie:
     """Ordered element lists as a prefix tree; links() carries all lists down the tree at once.
 
-    members are global numbers in list order; inside the tree they are 0..m-1 in that order, so a subtree holds a range of them.
+    The lists are sorted, so a node is a range of them that agree up to a depth, and it is opened only when some list
+    gets there.  members are global numbers in list order; inside the tree they are 0..m-1 in that order.
     """
 
-    def __init__(self, members: list[int], lists: dict[int, list[int]], weights: dict[int, list[int]], sizes: list[int]):
-        self.members, self.size = members, np.array([sizes[m] for m in members], np.int64)
-        self.child: list[list[int]] = [[]]
-        self.element, self.weight, self.rest, self.least, self.ends, self.first = [-1], [0], [0], [1 << 60], [[]], [0]
-        width = 1 + max((lists[m][-1] for m in members if lists[m]), default=0)
-        self.has = np.zeros((len(members), width + 1), np.int64)  # weight of an element in a list, 0 without it
-        path, walked = [0], []
+    def __init__(self, members: list[int], lists: dict[int, np.ndarray], weights: dict[int, np.ndarray], sizes: list[int]):
+        self.members, self.lists = members, [lists[m] for m in members]
+        self.size = np.array([sizes[m] for m in members], np.int64)
+        width = 1 + max((int(x[-1]) for x in self.lists if len(x)), default=0)
+        self.has = np.zeros((len(members), width + 1), np.int32)  # weight of an element in a list, 0 without it
         for i, m in enumerate(members):
-            own, w = lists[m], weights[m]
-            self.has[i, own] = w
-            same = 0
-            while same < min(len(own), len(walked)) and own[same] == walked[same]:
-                same += 1
-            del path[same + 1 :]
-            for e, x in zip(own[same:], w[same:], strict=True):
-                self.child[path[-1]].append(len(self.child))
-                path.append(len(self.child))
-                for store, value in ((self.child, []), (self.element, e), (self.weight, x), (self.rest, 0), (self.least, 1 << 60), (self.ends, []), (self.first, i)):
-                    store.append(value)
-            walked, rest = own, sum(w)
-            for at, node in enumerate(path):
-                self.rest[node] = max(self.rest[node], rest)
-                self.least[node] = min(self.least[node], sizes[m])
-                rest -= w[at] if at < len(w) else 0
-            self.ends[path[-1]].append(i)
-        self.after = np.zeros_like(self.has)  # weight of a list's elements beyond one
-        self.after[:, :-1] = np.cumsum(self.has[:, :0:-1], axis=1)[:, ::-1]
+            self.has[i, lists[m]] = weights[m]
+        self.left = [np.append(np.cumsum(weights[m][::-1])[::-1], 0) for m in members]  # weight of a list from a depth on
 
     def links(self, percent: int, sets: UnionFind) -> Iterator[tuple[int, int]]:
         """Pairs of members that link and weren't in one component of sets, which is kept up."""
         root = np.array([sets.find(m) for m in self.members])
-        m = len(self.members)
-        stack = [(0, np.arange(m), np.zeros(m, np.int64))]
+        total = np.array([x[0] for x in self.left])
+        stack = [(0, len(self.members), 0, np.arange(len(self.members)), np.zeros(len(self.members), np.int64))]
         while stack:
-            node, who, overlap = stack.pop()
-            for y in self.ends[node]:
-                for x in who[(who > y) & ((100 + percent) * overlap >= percent * (self.size[who] + self.size[y])) & (root[who] != root[y])].tolist():
-                    if sets.union(self.members[x], self.members[y]):
-                        yield self.members[x], self.members[y]
-            for c in self.child[node]:
-                e = self.element[c]
+            lo, hi, depth, who, overlap = stack.pop()
+            if hi - lo == 1:  # a single list is left: the rest of its path at once
+                rest = self.lists[lo][depth:]
+                yield from self._meet(lo, who, overlap + self.has[np.ix_(who, rest)].sum(axis=1), percent, sets, root)
+                continue
+            while lo < hi and len(self.lists[lo]) == depth:
+                yield from self._meet(lo, who, overlap, percent, sets, root)
+                lo += 1
+            while lo < hi:
+                e, end = self.lists[lo][depth], lo + 1
+                while end < hi and self.lists[end][depth] == e:
+                    end += 1
                 got = overlap + self.has[who, e]
-                able = (who > self.first[c]) & ((100 + percent) * (got + np.minimum(self.after[who, e], self.rest[c])) >= percent * (self.size[who] + self.least[c]))
+                rest = max(int(self.left[i][depth + 1]) for i in range(lo, end))
+                able = (who > lo) & ((100 + percent) * (got + np.minimum(total[who] - got, rest)) >= percent * (self.size[who] + self.size[lo:end].min()))
+                if end - lo == 1:
+                    able &= root[who] != root[lo]
                 if able.any():
-                    stack.append((c, who[able], got[able]))
+                    stack.append((lo, end, depth + 1, who[able], got[able]))
+                lo = end
+
+    def _meet(self, y: int, who: np.ndarray, overlap: np.ndarray, percent: int, sets: UnionFind, root: np.ndarray) -> Iterator[tuple[int, int]]:
+        good = (who > y) & ((100 + percent) * overlap >= percent * (self.size[who] + self.size[y])) & (root[who] != root[y])
+        for x in who[good].tolist():
+            if sets.union(self.members[x], self.members[y]):
+                yield self.members[x], self.members[y]
 
 
-def condensed(members: list[int], elements: list[np.ndarray], weights: list[np.ndarray]) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+def condensed(members: list[int], elements: list[np.ndarray], weights: list[np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
     """The members' ordered lists for one group: elements that the same members hold become one, those of a single member go."""
     counts = [len(elements[m]) for m in members]
-    el, w, who = np.concatenate([elements[m] for m in members]), np.concatenate([weights[m] for m in members]), np.repeat(np.arange(len(members)), counts)
+    el, w, who = np.concatenate([elements[m] for m in members]), np.concatenate([weights[m] for m in members]).astype(np.int64), np.repeat(np.arange(len(members)), counts)
     order = np.argsort(el, kind="stable")
     el, w, who = el[order], w[order], who[order]
     heads = runs(el)
     held = np.diff(np.append(heads, len(el)))
     name = np.add.reduceat(mix64(np.arange(1, len(members) + 1, dtype=U64))[who], heads, dtype=U64)
     shared = np.flatnonzero(held > 1)
-    lists, sizes = {m: [] for m in members}, {m: [] for m in members}
-    if len(shared):
-        _, first, own = np.unique(name[shared], return_index=True, return_inverse=True)
-        total = np.bincount(own, w[heads[shared]]).astype(np.int64)
-        for rank, k in enumerate(np.argsort(first, kind="stable").tolist()):  # by their first element: still the global order
-            at = heads[shared[first[k]]]
-            for m in who[at : at + held[shared[first[k]]]].tolist():
-                lists[members[m]].append(rank)
-                sizes[members[m]].append(int(total[k]))
-    return lists, sizes
+    if not len(shared):
+        return {m: np.zeros(0, np.int64) for m in members}, {m: np.zeros(0, np.int64) for m in members}
+    _, first, own = np.unique(name[shared], return_index=True, return_inverse=True)
+    total = np.bincount(own, w[heads[shared]]).astype(np.int64)
+    order = np.argsort(first, kind="stable")  # by their first element: still the global order
+    at, n = heads[shared[first[order]]], held[shared[first[order]]]
+    place = np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)
+    holder, rank, weight = who[place], np.repeat(np.arange(len(n)), n), np.repeat(total[order], n)
+    by = np.argsort(holder, kind="stable")
+    cuts = np.cumsum(np.bincount(holder, minlength=len(members)))[:-1]
+    return dict(zip(members, np.split(rank[by], cuts), strict=True)), dict(zip(members, np.split(weight[by], cuts), strict=True))
 
 
 def _block_links(percent: int):
@@ -266,7 +264,7 @@ def _block_links(percent: int):
             if len({sets.find(m) for m in members}) < 2:
                 continue
             lists, own_weights = condensed(sorted(members), elements, weights)
-            members = sorted((m for m in members if 100 * sum(own_weights[m]) >= percent * sizes[m]), key=lambda m: lists[m])
+            members = sorted((m for m in members if 100 * own_weights[m].sum() >= percent * sizes[m]), key=lambda m: lists[m].tolist())
             if len({sets.find(m) for m in members}) < 2:
                 continue
             links += [(names[x], names[m]) for x, m in Trie(members, lists, own_weights, sizes).links(percent, sets)]

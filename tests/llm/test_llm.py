@@ -97,6 +97,8 @@ def distance(a, b):
 def edited(rng, text, n):
     out = list(text)
     for _ in range(n):
+        if not out:
+            break
         i, kind = rng.randrange(len(out)), rng.randrange(3)
         out[i : i + (kind > 0)] = rng.choice("abcxyz") if kind < 2 else ""
     return "".join(out)
@@ -287,7 +289,10 @@ def test_secrets(spark):
         joined = ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
         assert (got[i].base_sha256, got[i].n_assign + got[i].n_access + got[i].n_hex) == (hashlib.sha256(joined.encode()).hexdigest(), len(spans)), text
         assert all(f"{k}:{a}:{b}" in got[i].spans.split(",") for a, k, b in spans)
-    assert "random:4:34" in got[7].spans and got[8].spans == ""
+    corpus = spark.read.parquet(f"{SF}/documents.parquet")
+    model = secrets.train(secrets.random_strings(spark).unionByName(secrets.ordinary_identifiers(corpus)))
+    assert secrets.scan(SECRET_TEXTS[7], model) == ([], [("random", 4, 34)])
+    assert secrets.scan("otherwise some_identifier_with_several_parts and AnotherOrdinaryIdentifierName", model) == ([], [])
 
 
 PII_TEXTS = [
