@@ -8,8 +8,8 @@ text.  What stands outside both is loose: the host decides.
 The token streams of all blocks outside the article are joined per host, and their
 suffixes are sorted by their first LEAST_TOKENS tokens.  A prefix that stands in two
 distinct pages of the host marks a long repeated substring; the tokens under such
-prefixes are covered.  Loose blocks lose their covered tokens and keep the unique
-runs.  The suffix array is sharded by the hash of (host, prefix), so equal prefixes
+prefixes are covered.  Loose blocks lose the covered runs of LEAST_TOKENS or more,
+or that fill the block, and keep the unique runs.  The suffix array is sharded by the hash of (host, prefix), so equal prefixes
 meet in one shard and a host of any size spreads over all of them.  Pages with equal
 streams are one page here, so copies of a page don't erase each other.
 
@@ -209,7 +209,14 @@ def unique_runs(kinds: list[str], texts: list[str], places: list[int], size: int
             at += int(text)
         else:
             tokens = text.split(" ")
-            left = [t for i, t in enumerate(tokens) if not covered[at + i]]
+            left, i = [], 0
+            while i < len(tokens):
+                end = i + 1
+                while end < len(tokens) and covered[at + end] == covered[at + i]:
+                    end += 1
+                if not covered[at + i] or end - i < min(size, len(tokens)):  # a repeat that only reaches into the block
+                    left += tokens[i:end]
+                i = end
             at += len(tokens)
             if left:
                 out.append(" ".join(left))
