@@ -14,7 +14,7 @@ budget it meets, so it counts once.
 Equal vectors are one vector with a multiplicity.  A cell is split into pairs of
 parts of at most PART vectors, so no task holds an unbounded cell; the plan of
 parts depends on cell sizes, and there are at most as many cells as the grid has.
-Tasks report each vector's number of partners and a spanning forest of the links.
+Tasks report each vector's number of partners and its component among the links that they see.
 
 Edge cases: null and zero vectors and those with a null or non-finite component link
 with nothing, as do vectors of another length than the first row's; equal vectors
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import UnionFind, connected_components, materialise
+from corvane.llm.common import connected_components, materialise
 
 BLOCKS = 4
 GRID = 2
@@ -93,12 +93,27 @@ def _cells(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
     return classes.select("rep", "size", "v").mapInArrow(run, f"block int, cell long, probe boolean, rep long, size long, v {kind}")
 
 
-def _joined(dim: int, cosine: float):
+def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of the linked numbers a and b in label, where each number carries its component's smallest one."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _counted(dim: int, cosine: float):
+    """Per part of a cell: (rep, partner rows, smallest rep of its component there) of every vector with a link."""
     turn, cuts, spread = rotation(dim), block_slices(dim), 2 * (1 - cosine)
 
     def run(table: pa.Table) -> pa.Table:
         block, probe = table["block"][0].as_py(), np.array(table["probe"].to_pylist(), bool)
-        rep = table["rep"].to_numpy()
+        rep, first, own = np.unique(table["rep"].to_numpy(), return_index=True, return_inverse=True)  # own: a row's number, in the order of rep
+        size = table["size"].to_numpy()[first]
         raw = np.array(table["v"].combine_chunks().values.to_numpy(), np.float64).reshape(-1, dim)
         unit = _unit(raw)
         rotated = (unit @ turn).astype(np.float32)
@@ -106,15 +121,13 @@ def _joined(dim: int, cosine: float):
         index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
         near = rotated[:, cuts[block]]
         norm = (near * near).sum(axis=1)
-        place = {int(r): i for i, r in enumerate(np.unique(rep))}
-        sets, links = UnionFind(len(place)), []
-        partners_a, partners_b = [], []
+        partners, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
         for a in range(0, len(probes), 512):
             rows = probes[a : a + 512]
             far = norm[rows][:, None] + norm[index][None, :] - 2 * near[rows] @ near[index].T
             i, j = np.nonzero(far <= budget[block])
             left, right = rows[i], index[j]
-            keep = rep[left] < rep[right]  # a pair is met from both sides
+            keep = own[left] < own[right]  # a pair is met from both sides
             left, right = left[keep], right[keep]
             for c in range(0, len(left), 1 << 16):
                 x, y = left[c : c + (1 << 16)], right[c : c + (1 << 16)]
@@ -124,34 +137,12 @@ def _joined(dim: int, cosine: float):
                     d = rotated[x][:, cuts[e]] - rotated[y][:, cuts[e]]
                     late = (d * d).sum(axis=1) > budget[e]
                     x, y = x[late], y[late]
-                partners_a.append(rep[x])
-                partners_b.append(rep[y])
-        a, b = np.concatenate([rep[:0], *partners_a]), np.concatenate([rep[:0], *partners_b])
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            links.append((x, y, int(sets.union(place[x], place[y]))))
-        out = np.array(links, np.int64).reshape(-1, 3)
-        return pa.table({"a": out[:, 0], "b": out[:, 1], "spans": out[:, 2].astype(bool)})
-
-    return run, "a long, b long, spans boolean"
-
-
-def _counted(dim: int, cosine: float):
-    """As _joined, but reports (rep, partner rows, link to) with partners summed up per task."""
-    pairs, _ = _joined(dim, cosine)
-
-    def run(table: pa.Table) -> pa.Table:
-        found = pairs(table)
-        size = dict(zip(table["rep"].to_pylist(), table["size"].to_pylist(), strict=True))
-        total: dict[int, int] = {}
-        out = []
-        for a, b, spans in zip(found["a"].to_pylist(), found["b"].to_pylist(), found["spans"].to_pylist(), strict=True):
-            total[a] = total.get(a, 0) + size[b]
-            total[b] = total.get(b, 0) + size[a]
-            if spans:
-                out.append((a, 0, b))
-        out += [(r, n, None) for r, n in total.items()]
-        columns = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["rep", "partners", "other"])
+                p, q = own[x], own[y]
+                np.add.at(partners, p, size[q])
+                np.add.at(partners, q, size[p])
+                _hook(label, p, q)
+        met = partners > 0
+        return pa.table({"rep": rep[met], "partners": partners[met], "other": rep[label[met]]})
 
     return run, "rep long, partners long, other long"
 
@@ -173,8 +164,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, part: int = PART)
         key = F.expr("xxhash64(block, cell, if(probe, other, own), if(probe, own, other))")
         run, schema = _counted(dim, cosine)
         found = materialise(sized.select(key.alias("grp"), "block", "probe", "rep", "size", "v").groupBy("grp").applyInArrow(run, schema), "vector-links")
-        partners = found.where("other IS NULL").groupBy("rep").agg(F.sum("partners").alias("partners"))
-        roots = connected_components(found.where("other IS NOT NULL").selectExpr("rep AS a", "other AS b")).withColumnsRenamed({"node": "rep", "root": "component_id"})
+        partners = found.groupBy("rep").agg(F.sum("partners").alias("partners"))
+        roots = connected_components(found.selectExpr("rep AS a", "other AS b")).withColumnsRenamed({"node": "rep", "root": "component_id"})
         known = classes.join(partners, "rep", "left").join(roots, "rep", "left").selectExpr("digest", "rep", "size - 1 + coalesce(partners, 0) AS n_links", "coalesce(component_id, rep) AS component_id")
         named = members.join(classes.select("digest", "rep", F.col("v").alias("cv")), "digest").where("v = cv").select("vec_id", "rep").join(known, "rep").selectExpr("vec_id AS _id", "n_links", "component_id").distinct()
     else:
