@@ -6,8 +6,9 @@ of at most 2 (1 - c).  The rotated coordinates are cut into BLOCKS subspaces, ea
 with a budget in proportion to its dimensions; two vectors within the whole
 distance are within the budget of one subspace at least.  Each subspace is
 range-joined: a grid over its first GRID coordinates, cells as wide as the
-budget's diameter, an index entry in a vector's own cell and probes in the cells
-that its ball touches.  The union of the candidates is verified by the cosine of
+budget's diameter, an index entry in a vector's own cell and probes in that cell and
+the later ones that its ball touches, so two cells meet from one side.  Within a cell
+both sides are sorted by the next coordinate, and probes scan the stretch in reach.  The union of the candidates is verified by the cosine of
 the given vectors in double precision; a pair counts in the first subspace whose
 budget it meets, so it counts once.
 
@@ -67,7 +68,7 @@ def _usable(vectors: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _cells(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """(block, cell, probe, rep, v) for the own cell and the probed cells of every class in every block."""
+    """(block, cell, probe, home, rep, size, v) for the own cell and the probed cells of every class in every block."""
     turn, cuts, spread = rotation(dim), block_slices(dim), 2 * (1 - cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,16 +82,18 @@ def _cells(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
                 low, high = np.floor((own - reach) / (2 * reach)).astype(np.int64), np.floor((own + reach) / (2 * reach)).astype(np.int64)
                 home = np.floor(own / (2 * reach)).astype(np.int64)
                 code = lambda g: ((g + 4096) * (8192 ** np.arange(g.shape[1]))).sum(axis=1)
-                jobs = [(home, np.ones(len(own), bool), False)]
+                at = code(home)
+                jobs = [(at, np.ones(len(own), bool), False)]
                 for corner in range(1 << own.shape[1]):
                     take = np.array([corner >> i & 1 for i in range(own.shape[1])], bool)
-                    jobs.append((np.where(take, high, low), ~((high == low) & take).any(axis=1), True))
+                    cell = code(np.where(take, high, low))
+                    jobs.append((cell, ~((high == low) & take).any(axis=1) & (cell >= at), True))
                 for cell, live, probe in jobs:
                     rows = np.flatnonzero(live)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(code(cell)[rows]), pa.array(np.full(len(rows), probe)), batch.column("rep").take(pa.array(rows)), batch.column("size").take(pa.array(rows)), batch.column("v").take(pa.array(rows))], names=["block", "cell", "probe", "rep", "size", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(cell[rows]), pa.array(np.full(len(rows), probe)), pa.array((cell == at)[rows]), batch.column("rep").take(pa.array(rows)), batch.column("size").take(pa.array(rows)), batch.column("v").take(pa.array(rows))], names=["block", "cell", "probe", "home", "rep", "size", "v"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    return classes.select("rep", "size", "v").mapInArrow(run, f"block int, cell long, probe boolean, rep long, size long, v {kind}")
+    return classes.select("rep", "size", "v").mapInArrow(run, f"block int, cell long, probe boolean, home boolean, rep long, size long, v {kind}")
 
 
 def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -111,7 +114,8 @@ def _counted(dim: int, cosine: float):
     turn, cuts, spread = rotation(dim), block_slices(dim), 2 * (1 - cosine)
 
     def run(table: pa.Table) -> pa.Table:
-        block, probe = table["block"][0].as_py(), np.array(table["probe"].to_pylist(), bool)
+        block, probe = table["block"][0].as_py(), table["probe"].combine_chunks().to_numpy(zero_copy_only=False)
+        home = table["home"].combine_chunks().to_numpy(zero_copy_only=False)
         rep, first, own = np.unique(table["rep"].to_numpy(), return_index=True, return_inverse=True)  # own: a row's number, in the order of rep
         size = table["size"].to_numpy()[first]
         raw = np.array(table["v"].combine_chunks().values.to_numpy(), np.float64).reshape(-1, dim)
@@ -120,14 +124,17 @@ def _counted(dim: int, cosine: float):
         budget = [spread * (c.stop - c.start) / dim + SLACK for c in cuts]
         index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
         near = rotated[:, cuts[block]]
+        line, reach = near[:, min(GRID, near.shape[1] - 1)], np.sqrt(budget[block]) + SLACK
+        index, probes = index[np.argsort(line[index], kind="stable")], probes[np.argsort(line[probes], kind="stable")]
         norm = (near * near).sum(axis=1)
         partners, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for a in range(0, len(probes), 512):
-            rows = probes[a : a + 512]
-            far = norm[rows][:, None] + norm[index][None, :] - 2 * near[rows] @ near[index].T
+        for a in range(0, len(probes), 256):
+            rows = probes[a : a + 256]
+            ahead = index[np.searchsorted(line[index], line[rows[0]] - reach) : np.searchsorted(line[index], line[rows[-1]] + reach, side="right")]
+            far = norm[rows][:, None] + norm[ahead][None, :] - 2 * near[rows] @ near[ahead].T
             i, j = np.nonzero(far <= budget[block])
-            left, right = rows[i], index[j]
-            keep = own[left] < own[right]  # a pair is met from both sides
+            left, right = rows[i], ahead[j]
+            keep = ~home[left] | (own[left] < own[right])  # within a cell a pair is met from both sides
             left, right = left[keep], right[keep]
             for c in range(0, len(left), 1 << 16):
                 x, y = left[c : c + (1 << 16)], right[c : c + (1 << 16)]
@@ -163,7 +170,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, part: int = PART)
         sized = cells.join(live, ["block", "cell"]).select("*", own.alias("own"), other)
         key = F.expr("xxhash64(block, cell, if(probe, other, own), if(probe, own, other))")
         run, schema = _counted(dim, cosine)
-        found = materialise(sized.select(key.alias("grp"), "block", "probe", "rep", "size", "v").groupBy("grp").applyInArrow(run, schema), "vector-links")
+        found = materialise(sized.select(key.alias("grp"), "block", "probe", "home", "rep", "size", "v").groupBy("grp").applyInArrow(run, schema), "vector-links")
         partners = found.groupBy("rep").agg(F.sum("partners").alias("partners"))
         roots = connected_components(found.selectExpr("rep AS a", "other AS b")).withColumnsRenamed({"node": "rep", "root": "component_id"})
         known = classes.join(partners, "rep", "left").join(roots, "rep", "left").selectExpr("digest", "rep", "size - 1 + coalesce(partners, 0) AS n_links", "coalesce(component_id, rep) AS component_id")
