@@ -233,4 +233,7 @@ def extract_text(pages: DataFrame, size: int = LEAST_TOKENS) -> DataFrame:
             text = [unique_runs(k, t, p or [], size) for k, t, p in zip(*(batch.column(c).to_pylist() for c in ("kinds", "texts", "places")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return parsed.select("row", "page_id", "url", "kinds", "texts").join(places, "row", "left").select("page_id", "url", "kinds", "texts", "places").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows, loose = parsed.select("row", "page_id", "url", "kinds", "texts"), F.array_contains("kinds", "loose")
+    alone = rows.where(~loose).select("page_id", "url", "kinds", "texts", F.lit(None).cast("array<int>").alias("places"))  # other pages don't matter to these
+    cut = rows.where(loose).join(places, "row", "left").select("page_id", "url", "kinds", "texts", "places")
+    return alone.unionByName(cut).mapInArrow(run, "page_id long, url string, text string, n_chars long")
