@@ -133,6 +133,40 @@ def test_line_dedup(spark, block):
         assert cut == {d: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d][1]) for d, t in enumerate(texts)}
 
 
+def test_line_dedup_has_no_upper_bound_of_edits(spark):
+    """Long lines at and beyond one edit per 24 characters, spread or in one run."""
+    rng = random.Random(12)
+    texts, near = [], []
+    for size in (72, 95, 96, 130, 196, 250):
+        for _ in range(2):
+            base = "".join(rng.choice("abcdefgh é") for _ in range(size))
+            k, at = size // 24, rng.randrange(size // 2)
+            texts += [base, edited(rng, base, k), base[:at] + "xyz" * (k // 3) + base[at:], base[:at] + base[at + k - k // 24 - 1 :], edited(rng, base, 2 * k)]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        k = min(len(texts[i]), len(texts[j])) // 24
+        if i // 5 == j // 5 and abs(len(texts[i]) - len(texts[j])) <= k and distance(texts[i], texts[j]) <= k:
+            near.append((i, j))
+    for size in (555, 1500, 3000):  # too long for the brute force: size // 24 replaced characters
+        base = [rng.choice("abcdefgh é") for _ in range(size)]
+        near.append((len(texts), len(texts) + 1))
+        texts.append("".join(base))
+        for i in rng.sample(range(size), size // 24):
+            base[i] = "z"
+        texts.append("".join(base))
+    want = components(len(texts), near)
+    got = {r.doc_id: r.dropped for r in line_dedup.dropped_lines(docs_of(spark, texts)).collect()}
+    assert [bool(got[i]) for i in range(len(texts))] == [w != i for i, w in enumerate(want)]
+    assert sum(w != i for i, w in enumerate(want)) >= 30
+
+
+def test_long_edit_distance():
+    rng = random.Random(2)
+    for _ in range(200):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))
+        b = edited(rng, a, rng.randint(0, 9))
+        assert all(line_dedup.edits_within(a, b, k) == (distance(a, b) <= k) for k in range(3, 9))
+
+
 def best_windows(texts, items):
     bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
     out = {}
