@@ -6,11 +6,10 @@ weighs as often as it occurs; similarity is the sum of the smaller weights over
 the sum of the larger.
 
 Plan (DataFrame functions only)
-1. Windows.  At this similarity a window shares shingles with the item, so it lies
-   on the diagonal (position in the document minus position in the item) of a
-   shared shingle, or between two near diagonals where words were put in or left
-   out.  Positions that share no shingle with any item are left behind in the scan,
-   without a loss, and every remaining item-sized window is kept.
+1. Windows.  A shingle position of the document is a hit of an item that holds the
+   shingle, wherever in the item: similarity knows no order.  A window reaches the
+   threshold only with enough hits (see least_shared), so every item-sized window
+   with that many is kept, and no other.  Nothing is lost here.
 2. Each window gets a 64-bit SimHash of its weighted shingles.  Counting goes 32
    bits a lane, two bits of the hash in one long.
 3. Fingerprints meet under (window length, block number, block bits).  RADIUS + 1
@@ -89,6 +88,11 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def least_shared(a: Column, b: Column, threshold: float) -> Column:
+    """Shared weight at which bags of a and b shingles reach the threshold: shared / (a + b - shared) >= threshold."""
+    return F.greatest(F.lit(1), F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)).cast("int")
+
+
 def _fits(rows: int):
     return F.broadcast if rows <= BROADCAST_ROWS else lambda df: df
 
@@ -103,11 +107,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, wor
 
     hashed = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("m"), shingles_of(F.col("words"), words).alias("hashes"))
     hits = hashed.select("doc_id", "m", F.posexplode_outer("hashes").alias("p", "h")).join(fits(anchors), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("m") - F.col("n")))
-    diagonals = hits.groupBy("doc_id", "item_id", "n").agg(F.array_sort(F.collect_set(start)).alias("at"))
-    slack = F.ceil(F.col("n") * (1 - threshold)).cast("int")
-    between = F.transform("at", lambda s, i: F.when(F.coalesce(F.get("at", i + 1) - s, F.lit(1 << 30)) <= slack, F.sequence(s, F.coalesce(F.get("at", i + 1) - 1, s))).otherwise(F.array(s)))
-    windows = diagonals.select("doc_id", F.explode_outer(F.flatten(between)).alias("start"), "n").groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
+    hits = hits.groupBy("doc_id", "m", "item_id", "n").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    own = F.greatest(F.least("m", "n") - (words - 1), F.lit(1))  # shingles of a window
+    hits = hits.select("*", own.alias("own"), least_shared(own, F.greatest(F.col("n") - (words - 1), F.lit(1)), threshold).alias("least")).where("size(at) >= least")
+
+    def starts(first: Column, i: Column) -> Column:
+        """Windows that hold the hits from the i-th on, as many as are needed."""
+        last = F.get("at", i + F.col("least") - 1)
+        low, high = F.greatest(F.lit(0), last - F.col("own") + 1), F.greatest(F.lit(0), F.least(first, F.col("m") - F.col("n")))
+        return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+    windows = hits.select("doc_id", "n", F.explode_outer(F.array_distinct(F.flatten(F.transform("at", starts)))).alias("start")).where("start IS NOT NULL")
+    windows = windows.groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
 
     cut = docs.join(windows, "doc_id").select("doc_id", "windows", words_of(F.col("text")).alias("words"))
     cut = cut.select("doc_id", F.explode_outer(F.transform("windows", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice(F.col("words"), w["start"] + 1, w["n"]).alias("words")))).alias("w"))

@@ -209,6 +209,21 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_decontamination_of_reordered_passages(spark):
+    rng = random.Random(21)
+    items = [" ".join(rng.choice("abcdef") + str(rng.randint(0, 400)) for _ in range(n)) for n in (40, 60, 80)]
+    texts = []
+    for k, item in enumerate(items * 3):
+        w, filler = item.split(), [f"g{i}" for i in range(200)]
+        cut = [len(w) // 2, len(w) // 3, len(w) // 4][k // 3]
+        texts.append(" ".join(filler[:100] + w[cut:] + w[:cut] + filler[100:]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate.contaminated(docs_of(spark, texts), bench).collect()
+    got, want = {(r.doc_id, r.item_id): r.similarity for r in rows}, best_windows(texts, items)
+    assert got == want and len(want) == 9 and want[0, 0] == 0.8
+    assert {r.start for r in rows} == {100}
+
+
 def test_decontamination_is_native(spark):
     plan = decontaminate.contaminated(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian", plan)
