@@ -11,7 +11,9 @@ distinct pages of the host marks a long repeated substring; the tokens under suc
 prefixes are covered.  Loose blocks lose the covered runs of LEAST_TOKENS or more,
 or that fill the block, and keep the unique runs.  The suffix array is sharded by the hash of (host, prefix), so equal prefixes
 meet in one shard and a host of any size spreads over all of them.  Pages with equal
-streams are one page here, so copies of a page don't erase each other.
+loose blocks are one page here, whatever menu, advert or footer they carry, so copies
+of a page don't erase each other.  Near copies, with other words in the loose blocks,
+still count as two pages and lose what they share.
 
 Text: character references decoded, white space inside a block is one blank, blocks
 are trimmed and joined by \\n in page order.  A <br> ends a block.
@@ -137,14 +139,14 @@ def host_of(url: str | None) -> str:
 
 
 def _windows(host: str, found: list[tuple[str, str]], size: int) -> tuple[np.ndarray, int]:
-    """Hash of (host, the size tokens from there) at each place of the stream outside the article, and the stream's digest."""
+    """Hash of (host, the size tokens from there) at each place of the stream outside the article, and the digest of the loose blocks."""
     tokens = [t for kind, text in found if kind != "main" for t in text.split(" ")]
     own = np.array([xxhash.xxh64_intdigest(t) for t in tokens], U64)
     n = max(len(own) - size + 1, 0)
     rolling = np.full(n, U64(xxhash.xxh64_intdigest(host)))
     for k in range(size):
         rolling = mix64(rolling + own[k : k + n])
-    return rolling, xxhash.xxh64_intdigest(" ".join(tokens), seed=1)
+    return rolling, xxhash.xxh64_intdigest("\n".join(t for kind, t in found if kind == "loose"), seed=1)
 
 
 def _parsed(pages: DataFrame, size: int) -> DataFrame:

@@ -424,6 +424,12 @@ def test_html_copies_keep_their_text(spark):
     assert {r.text for r in html_text.extract_text(frame).collect()} == {page[3:-4]}
 
 
+def test_html_copies_with_another_advert_keep_their_text(spark):
+    page = "<div class=ad>{}</div><p>One and the same text of many words on two pages of a host</p><footer>{}</footer>"
+    frame = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(*x)) for i, x in enumerate([("Buy this", "Monday"), ("Buy that now", "Tuesday")])], "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract_text(frame).collect()} == {"One and the same text of many words on two pages of a host"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
