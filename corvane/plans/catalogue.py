@@ -560,8 +560,9 @@ def negation_argmax(spark: SparkSession, sf: str) -> DataFrame:
 def rouge_l(spark: SparkSession, sf: str) -> DataFrame:
     from corvane.functions.rouge import rouge_l_f1
 
-    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    pairs = items.select("item_id", F.col("text").alias("claim"), (F.col("item_id") % 40).alias("k")).join(docs.where("n_chars < 4000").select("doc_id", "text", (F.col("doc_id") % 40).alias("k")), "k")
+    items, docs = table(spark, sf, "benchmark").select("item_id", "text"), table(spark, sf, "documents").select("doc_id", "text")
+    hits = Engine(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")).search(items, "item_id", "text")
+    pairs = hits.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id")).join(docs, "doc_id").join(items.withColumnRenamed("text", "claim"), "item_id")
     f1 = F.round(rouge_l_f1(F.col("text"), F.col("claim")), 6)
     return pairs.select("item_id", "doc_id", f1.alias("f1")).withColumn("verdict", F.when(F.col("f1") >= 0.35, "SUPPORTED").otherwise("UNSUPPORTED"))
 

@@ -142,6 +142,18 @@ def test_rouge():
     assert rouge.f1(None, "x") == 0.0
 
 
+def test_rouge_query_reads_long_documents(spark, tmp_path):
+    """A document of any length, with or without n_chars, is scored against the item it holds, whatever the ids."""
+    from corvane.plans.catalogue import QUERIES
+
+    item = "the tenant shall repair the northern wall before winter"
+    long = item + " filler" * 900
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(2, long, len(long)), (3, item, None), (41, "unrelated", 9)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.item_id, r.f1, r.verdict) for r in QUERIES["rouge_l"](spark, str(tmp_path)).collect()}
+    assert got[3] == (1, 1.0, "SUPPORTED") and got[2] == (1, round(2 * 9 / (909 + 9), 6), "UNSUPPORTED")
+
+
 def test_api_empty_and_modes(spark):
     docs = spark.createDataFrame([("c1", "d1", "the court held the appeal allowed"), ("c2", "d2", "another text entirely")], "chunk_id string, doc_id string, text string")
     engine = Engine(docs)
