@@ -430,6 +430,16 @@ def test_html_copies_with_another_advert_keep_their_text(spark):
     assert {r.text for r in html_text.extract_text(frame).collect()} == {"One and the same text of many words on two pages of a host"}
 
 
+def test_pipeline_keeps_one_row_of_a_component(spark):
+    import corpus_pipeline as pipeline
+
+    same = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, "own words of a row without an id"), (7, same), (7, same), (3, same + " end"), (None, same), (9, None), (None, None), (5, "other words that stand in one row"), (5, "and these differ under an equal id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert got == Counter(x for x in rows if x[1] is None or not x[1].startswith("w0 ")) + Counter([(3, same + " end")])
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
