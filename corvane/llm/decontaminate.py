@@ -9,20 +9,24 @@ Plan (DataFrame functions only)
 1. Windows.  A shingle position of the document is a hit of an item that holds the
    shingle, wherever in the item: similarity knows no order.  A window reaches the
    threshold only with enough hits (see least_shared), so every item-sized window
-   with that many is kept, and no other.  Nothing is lost here.
-2. Each window gets a 64-bit SimHash of its weighted shingles.  Counting goes 32
+   with that many is kept for that item, and no other.  Nothing is lost here.
+2. The windows' starts are written down, one row per (document, item).  Documents
+   that have some are read again and hashed, and their windows are cut from slabs of
+   SLAB starts, so a row never holds more than a slab's windows.
+3. Each window gets a 64-bit SimHash of its weighted shingles.  Counting goes 32
    bits a lane, two bits of the hash in one long.
-3. Fingerprints meet under (window length, block number, block bits).  RADIUS + 1
-   blocks guarantee every pair of fingerprints within RADIUS bits.  At similarity
-   0.75 about 11 of 64 bits differ (sd 3), so RADIUS = 23 is four deviations out.
-4. Candidates are verified with the exact similarity; the best window of a
+4. Fingerprints meet under (item, block number, block bits).  radius + 1 blocks
+   guarantee every pair of fingerprints within the radius.  At similarity 0.75 about
+   11 of 64 bits differ (sd 3), so RADIUS = 23 is four deviations out.  radius=None
+   is the exact way: all windows of step 1 are verified, whatever their fingerprint.
+5. Candidates are verified with the exact similarity; the best window of a
    (document, item) pair is reported.
 
 Arrays are unrolled with the outer generators: for the inner ones the optimizer
 adds a filter on the array's size, which would compute the whole array twice.
 
-The items are broadcast only when their shingles number at most BROADCAST_ROWS;
-beyond that the same joins shuffle.
+What is broadcast is sized first, each table by its own rows and array entries
+(see _fits); beyond BROADCAST_BYTES the same joins shuffle.
 
 Edge cases: null, empty and blank texts or items match nothing; an item or
 document under five words is one shingle, its whole sequence; a document shorter
@@ -35,9 +39,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import materialise
+
 RADIUS = 23
 BITS = 64
-BROADCAST_ROWS = 1_000_000  # rows of under 100 bytes
+SLAB = 512  # window starts cut from one row
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -82,10 +89,19 @@ def blocks_of(fingerprint: Column, radius: int) -> Column:
     return F.posexplode_outer(F.array(*[fingerprint.bitwiseAND(F.lit(m)) for m in block_masks(radius)]))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Sum of the smaller over sum of the larger weights of two bags of shingles."""
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
-    return shared / (F.size(a) + F.size(b) - shared)
+def first_equal_block(differ: Column, radius: int) -> Column:
+    """Number of the first block without a differing bit; null if there is none."""
+    out = F
+    for i, m in enumerate(block_masks(radius)):
+        out = out.when(differ.bitwiseAND(F.lit(m)) == 0, i)
+    return out
+
+
+def shared_weight(a: Column, b: Column) -> Column:
+    """Sum of the smaller weights of two bags of shingles; a set intersection where one of them repeats nothing."""
+    counted = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
+    plain = (F.size(F.array_distinct(b)) == F.size(b)) | (F.size(F.array_distinct(a)) == F.size(a))
+    return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
 def least_shared(a: Column, b: Column, threshold: float) -> Column:
@@ -93,20 +109,20 @@ def least_shared(a: Column, b: Column, threshold: float) -> Column:
     return F.greatest(F.lit(1), F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)).cast("int")
 
 
-def _fits(rows: int):
-    return F.broadcast if rows <= BROADCAST_ROWS else lambda df: df
+def _fits(size: int):
+    """broadcast for a table of so many bytes, or nothing."""
+    return F.broadcast if size <= BROADCAST_BYTES else lambda df: df
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, words: int = 5, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, similarity, start and n_words of the best window, distance of the fingerprints."""
-    bench = items.select(F.col("item_id").cast("long"), words_of(F.col("text")).alias("words")).where("item_id IS NOT NULL AND size(words) > 0")
-    bench = bench.select("item_id", F.size("words").alias("n"), shingles_of(F.col("words"), words).alias("item_shingles"))
-    anchors = bench.select("item_id", "n", F.posexplode_outer("item_shingles").alias("q", "h"))
-    fits = _fits(anchors.count())
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+def _hashed(docs: DataFrame, words: int, *keep: str) -> DataFrame:
+    """doc_id, m (words), hashes of the shingles in order."""
+    split = docs.select("doc_id", *keep, words_of(F.col("text")).alias("words"))
+    return split.select("doc_id", *keep, F.size("words").alias("m"), shingles_of(F.col("words"), words).alias("hashes"))
+
 
-    hashed = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("m"), shingles_of(F.col("words"), words).alias("hashes"))
-    hits = hashed.select("doc_id", "m", F.posexplode_outer("hashes").alias("p", "h")).join(fits(anchors), "h")
+def window_starts(docs: DataFrame, anchors: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(doc_id, item_id, n, starts): the windows of each item's length with enough hits of that item."""
+    hits = _hashed(docs, words).select("doc_id", "m", F.posexplode_outer("hashes").alias("p", "h")).join(anchors, "h")
     hits = hits.groupBy("doc_id", "m", "item_id", "n").agg(F.array_sort(F.collect_set("p")).alias("at"))
     own = F.greatest(F.least("m", "n") - (words - 1), F.lit(1))  # shingles of a window
     hits = hits.select("*", own.alias("own"), least_shared(own, F.greatest(F.col("n") - (words - 1), F.lit(1)), threshold).alias("least")).where("size(at) >= least")
@@ -117,23 +133,53 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, wor
         low, high = F.greatest(F.lit(0), last - F.col("own") + 1), F.greatest(F.lit(0), F.least(first, F.col("m") - F.col("n")))
         return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
 
-    windows = hits.select("doc_id", "n", F.explode_outer(F.array_distinct(F.flatten(F.transform("at", starts)))).alias("start")).where("start IS NOT NULL")
-    windows = windows.groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
+    return hits.select("doc_id", "item_id", "n", F.array_distinct(F.flatten(F.transform("at", starts))).alias("starts")).where("size(starts) > 0")
+
+
+def _cut(docs: DataFrame, windows: DataFrame, words: int) -> DataFrame:
+    """(doc_id, item_id, n, start, shingles) of the windows (doc_id, windows array<struct<item_id, n, starts>>)."""
+    rows = _hashed(docs.join(windows, "doc_id"), words, "windows")
+    own = lambda n: F.greatest(F.least(F.col("m"), n) - (words - 1), F.lit(1))
+    widest = F.array_max(F.transform("windows", lambda w: own(w["n"])))
+    slabs = F.transform(F.sequence(F.lit(0), F.floor((F.size("hashes") - 1) / SLAB).cast("int")), lambda s: F.struct(s.alias("slab"), F.slice("hashes", s * SLAB + 1, widest + SLAB).alias("own_hashes")))
+    rows = rows.select("doc_id", "m", "windows", F.explode_outer(slabs).alias("s")).select("doc_id", "m", "windows", "s.slab", "s.own_hashes")
+    here = F.flatten(F.transform("windows", lambda w: F.transform(F.filter(w["starts"], lambda p: F.floor(p / SLAB) == F.col("slab")), lambda p: F.struct(w["item_id"].alias("item_id"), w["n"].alias("n"), p.alias("start")))))
+    rows = rows.select("doc_id", "m", "slab", "own_hashes", here.alias("here")).where("size(here) > 0")
+    cut = F.transform("here", lambda w: F.struct(w["item_id"].alias("item_id"), w["n"].alias("n"), w["start"].alias("start"), F.slice("own_hashes", w["start"] - F.col("slab") * SLAB + 1, own(w["n"])).alias("shingles")))
+    return rows.select("doc_id", F.explode_outer(cut).alias("w")).select("doc_id", "w.item_id", "w.n", "w.start", "w.shingles")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, words: int = 5, radius: int | None = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity, start and n_words of the best window, distance of the fingerprints."""
+    bench = items.select(F.col("item_id").cast("long"), words_of(F.col("text")).alias("words")).where("item_id IS NOT NULL AND size(words) > 0")
+    # repeated ids with different texts are told apart by row
+    bench = bench.select("item_id", F.size("words").alias("n"), shingles_of(F.col("words"), words).alias("item_shingles"))
+    bench = materialise(bench.distinct().withColumn("row", F.monotonically_increasing_id()), "items")
+    n_items, n_shingles = bench.agg(F.count("*"), F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()
+    anchors = bench.select(F.col("row").alias("item_id"), "n", F.explode_outer(F.array_distinct("item_shingles")).alias("h"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    windows = materialise(window_starts(docs, _fits(100 * n_shingles)(anchors), threshold, words), "windows")
+    n_rows, n_starts = windows.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    per_doc = windows.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "starts")).alias("windows"))
+    cut = _cut(docs, _fits(150 * n_rows + 4 * n_starts)(per_doc), words)
 
-    cut = docs.join(windows, "doc_id").select("doc_id", "windows", words_of(F.col("text")).alias("words"))
-    cut = cut.select("doc_id", F.explode_outer(F.transform("windows", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice(F.col("words"), w["start"] + 1, w["n"]).alias("words")))).alias("w"))
-    cut = cut.select("doc_id", "w.n", "w.start", shingles_of(F.col("w.words"), words).alias("shingles"))
+    known = bench.select(F.col("row").alias("item_id"), "item_shingles")
     prints = cut.withColumn("print", simhash(F.col("shingles")))
-    known = bench.withColumn("item_print", simhash(F.col("item_shingles")))
-
-    left = prints.select("*", blocks_of(F.col("print"), radius).alias("block", "bits"))
-    right = known.select("*", blocks_of(F.col("item_print"), radius).alias("block", "bits"))
-    differ = F.col("print").bitwiseXOR(F.col("item_print"))
-    masks = F.array(*[F.lit(m) for m in block_masks(radius)])
-    first = F.forall(F.slice(masks, 1, F.col("block")), lambda m: differ.bitwiseAND(m) != 0)  # the pair counts in its first equal block
-    met = left.join(fits(right), ["n", "block", "bits"]).withColumn("distance", F.bit_count(differ)).where(F.col("distance") <= radius).where(first)
-    sure = met.withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= threshold)
-    best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", F.expr("-start").alias("back"), "n", "distance")).alias("best"))
+    item_prints = known.select("item_id", simhash(F.col("item_shingles")).alias("item_print"))
+    if radius is None:
+        met = prints.join(_fits(120 * n_items)(item_prints), "item_id").withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
+    else:
+        left = prints.select("*", blocks_of(F.col("print"), radius).alias("block", "bits"))
+        right = item_prints.select("*", blocks_of(F.col("item_print"), radius).alias("block", "bits"))
+        differ = F.col("print").bitwiseXOR(F.col("item_print"))
+        met = left.join(_fits(120 * (radius + 1) * n_items)(right), ["item_id", "block", "bits"]).withColumn("distance", F.bit_count(differ))
+        met = met.where((F.col("distance") <= radius) & (F.col("block") == first_equal_block(differ, radius)))  # a pair counts in its first equal block
+    met = met.select("doc_id", "item_id", "n", "start", "shingles", "distance").join(_fits(100 * n_items + 8 * n_shingles)(known), "item_id")
+    met = met.withColumn("shared", shared_weight(F.col("shingles"), F.col("item_shingles")))
+    sure = met.withColumn("similarity", F.col("shared") / (F.size("shingles") + F.size("item_shingles") - F.col("shared"))).where(F.col("similarity") >= threshold)
+    names = bench.select(F.col("row").alias("row"), F.col("item_id").alias("name"))
+    sure = sure.join(_fits(60 * n_items)(names), F.col("item_id") == F.col("row"))
+    best = sure.groupBy("doc_id", F.col("name").alias("item_id")).agg(F.max(F.struct("similarity", F.expr("-start").alias("back"), "n", "distance")).alias("best"))
     return best.selectExpr("doc_id", "item_id", "round(best.similarity, 6) AS similarity", "cast(-best.back AS bigint) AS start", "cast(best.n AS bigint) AS n_words", "cast(best.distance AS bigint) AS distance")
 
 

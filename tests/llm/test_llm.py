@@ -225,8 +225,37 @@ def test_decontamination_of_reordered_passages(spark):
 
 
 def test_decontamination_is_native(spark):
-    plan = decontaminate.contaminated(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas|Cartesian", plan)
+    docs, items = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "benchmark"))
+    anchors = items.select("item_id", F.lit(5).alias("n"), F.xxhash64("text").alias("h"))
+    for frame in (decontaminate.contaminated(docs, items), decontaminate.window_starts(docs.select("doc_id", "text"), anchors, 0.75, 5)):
+        assert not re.search("Python|Arrow|Pandas|Cartesian", frame._jdf.queryExecution().toString())
+
+
+def test_decontamination_radius_loses_nothing_here(spark):
+    """Windows at and just above the threshold: the fingerprints' radius finds what the exact way finds."""
+    rng = random.Random(31)
+    items = [" ".join(rng.choice("abcdef") + str(rng.randint(0, 900)) for _ in range(n)) for n in (24, 40, 58)]
+    texts = []
+    for k in range(150):
+        w = items[k % 3].split()
+        cut = [w[: len(w) - len(w) // 8], w[len(w) // 8 :], noisy(rng, w, 1).split(), noisy(rng, w, 2).split()][k % 4]
+        texts.append(" ".join([f"g{k}x{i}" for i in range(30)] + cut + [f"h{k}x{i}" for i in range(30)]))
+    bench = spark.createDataFrame([*enumerate(items), (2, "another text under an equal id of nine words")], "item_id long, text string")
+    docs = docs_of(spark, [*texts, "so another text under an equal id of nine words"])
+    near, exact = (sorted(map(tuple, decontaminate.contaminated(docs, bench, radius=r).drop("distance").collect())) for r in (decontaminate.RADIUS, None))
+    assert near == exact and len(exact) > 60 and (150, 2) in {r[:2] for r in exact}
+
+
+def test_decontamination_of_long_texts(spark):
+    """Windows far apart, on slab edges, and a text full of one passage; repeated rows count once."""
+    rng = random.Random(5)
+    item = " ".join(f"i{rng.randint(0, 999)}" for _ in range(30))
+    filler = [f"g{i}" for i in range(3000)]
+    texts = [" ".join([*filler[:at], item, *filler[at:]]) for at in (0, 481, 511, 512, 1023, 1500, 3000)] + [" ".join([item] * 60)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    docs = docs_of(spark, texts)
+    rows = decontaminate.contaminated(docs.unionByName(docs), bench).collect()
+    assert sorted((r.doc_id, r.start, r.similarity) for r in rows) == [(i, at, 1.0) for i, at in enumerate([0, 481, 511, 512, 1023, 1500, 3000, 0])]
 
 
 def test_language_id(spark):
