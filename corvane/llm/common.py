@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 BUCKETS_PER_PARTITION = 8
 BYTES_PER_BUCKET = 2 << 20
+BROADCAST_BYTES = 64 << 20
+UNKNOWN_BYTES = 1 << 60  # Catalyst's default for a plan without statistics is near 2**63
 U64 = np.uint64
 
 
@@ -40,15 +42,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (the file sizes, for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame, text: str = "text") -> int:
+    """Catalyst's size estimate of a plan (the file sizes, for a scan); the bytes of its text column where there is none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN_BYTES:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
-def bucket_count(df: DataFrame) -> int:
+def bucket_count(df: DataFrame, text: str = "text") -> int:
     """How many buckets a packed shuffle of this input deals to; grows with the input."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(BUCKETS_PER_PARTITION * parts, min(plan_bytes(df) // BYTES_PER_BUCKET, 1 << 22))
+    return max(BUCKETS_PER_PARTITION * parts, min(plan_bytes(df, text) // BYTES_PER_BUCKET, 1 << 22))
+
+
+def sized_broadcast(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """df with a broadcast hint if its counted rows take at most BROADCAST_BYTES; beyond that joins shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 # ---------------------------------------------------------------- hashing

@@ -39,12 +39,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialise
+from corvane.llm.common import BROADCAST_BYTES, materialise
 
 RADIUS = 23
 BITS = 64
 SLAB = 512  # window starts cut from one row
-BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:

@@ -159,6 +159,35 @@ def test_line_dedup_has_no_upper_bound_of_edits(spark):
     assert sum(w != i for i, w in enumerate(want)) >= 30
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows that share a doc_id, equal rows among them, lose only what stands elsewhere."""
+    rows = [(0, "shared line"), (1, "unique alpha line\nshared line"), (1, "other text\nunique beta line"), (1, "twin"), (1, "twin"), (None, "shared line"), (2, None)]
+    docs = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, row int, _gone string").coalesce(1)
+    got = Counter((r.doc_id, r.text, r.row) for r in line_dedup.dedup_lines(docs).collect())
+    want = [(0, "shared line"), (1, "unique alpha line"), (1, "other text\nunique beta line"), (1, "twin"), (1, ""), (None, "shared line"), (2, None)]
+    assert got == Counter((*r, 9) for r in want)
+    assert len(line_dedup.dropped_lines(docs).collect()) == 5
+    assert line_dedup.dropped_lines(docs.limit(0)).collect() == []
+
+
+def test_line_dedup_tells_hash_twins_apart(spark):
+    """A Thue-Morse line and its complement have one value under any polynomial hash modulo 2**64."""
+    line = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    twin = line.translate(str.maketrans("ab", "ba"))
+    assert not any(r.dropped for r in line_dedup.dropped_lines(docs_of(spark, [line, twin])).collect())
+
+
+@pytest.mark.parametrize("block", [256, 40])
+def test_line_dedup_of_a_hot_segment(spark, block):
+    """Many lines that share their first half and little else, with a few near copies among them."""
+    rng = random.Random(17)
+    head = "This file is part of the common notice of all files, and it says: "
+    tails = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(30, 90))) for _ in range(900)]
+    lines = [head + t for t in tails] + [head + edited(rng, t, 2) for t in tails[:40]]
+    got = {r.doc_id: r.dropped for r in line_dedup.dropped_lines(docs_of(spark, lines), block).collect()}
+    assert sorted(i for i, d in got.items() if d) == list(range(900, 940))
+
+
 def test_long_edit_distance():
     rng = random.Random(2)
     for _ in range(200):
