@@ -130,7 +130,7 @@ def window_starts(docs: DataFrame, anchors: DataFrame, threshold: float, words:
         """Windows that hold the hits from the i-th on, as many as are needed."""
         last = F.get("at", i + F.col("least") - 1)
         low, high = F.greatest(F.lit(0), last - F.col("own") + 1), F.greatest(F.lit(0), F.least(first, F.col("m") - F.col("n")))
-        return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+        return F.when(last.isNotNull() & (low <= high), F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
 
     return hits.select("doc_id", "item_id", "n", F.array_distinct(F.flatten(F.transform("at", starts))).alias("starts")).where("size(starts) > 0")
 
