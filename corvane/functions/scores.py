@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LABELS = ["SUPPORTED", "CONTRADICTED", "UNSUPPORTED"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: as a lambda's variable it can't be copied to each place that names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities of array<double> logits, shifted by the largest."""
     raised = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,59 +34,45 @@ _STOPS = frozenset(ABBREVIATIONS)
 
 
 def sentence_units(text: str, most_words: int = 100) -> list[tuple[int, int, int]]:
-    """(start, end, words) of sentences; one beyond most_words is cut after a comma from half that size on, or at that size."""
-    cuts = [m.start(2) for m in _BREAK.finditer(text) if m[1].lower() not in _STOPS]
-    units = []
-    for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
-        own = [(m.start() + a, m.end() + a) for m in _WORD.finditer(text[a:b])]
-        if len(own) <= most_words:
-            units += [(own[0][0], own[-1][1], len(own))] if own else []
-            continue
-        begin = 0
-        for i, (_, end) in enumerate(own):
-            n = i - begin + 1
-            comma = text[end - 1] == "," or text[end : end + 1] == ","
-            if i == len(own) - 1 or n >= most_words or n >= most_words // 2 and comma:
-                units.append((own[begin][0], end, n))
-                begin = i + 1
+    """(start, end, words) of sentences; one beyond most_words is cut after the first comma from half that size on, or at that size."""
+    breaks = [m.start(2) for m in _BREAK.finditer(text) if m[1].lower() not in _STOPS]
+    spans = [m.span() for m in _WORD.finditer(text)]
+    ends = [end for _, end in spans]
+    commas = [i for i, end in enumerate(ends) if text[end - 1] == ","]
+    units, first = [], 0
+    for cut in [*breaks, len(text)]:
+        after = bisect_right(ends, cut)  # the word after the sentence's last
+        while first < after:
+            last = after - 1
+            if after - first > most_words:
+                comma = bisect_left(commas, first + most_words // 2 - 1)
+                last = min(first + most_words - 1, last, commas[comma] if comma < len(commas) else last)
+            units.append((spans[first][0], ends[last], last - first + 1))
+            first = last + 1
     return units
 
 
-def _chunk_end(units: list[tuple[int, int, int]], start: int, size: int) -> int:
-    total, end = units[start][2], start + 1
-    while end < len(units) and total + units[end][2] <= size:
-        total += units[end][2]
-        end += 1
-    if end < len(units):
-        wide = total + units[end][2]
-        if wide - size < size - total and wide <= int(size * 1.15):
-            end += 1
-    return end
-
-
-def _next_start(units: list[tuple[int, int, int]], start: int, end: int, overlap: int) -> int:
-    best, gap, shared = end, float("inf"), 0
-    for at in range(end - 1, start, -1):
-        shared += units[at][2]
-        if abs(shared - overlap) < gap:
-            best, gap = at, abs(shared - overlap)
-        if shared > 2 * overlap:
-            break
-    return max(start + 1, best)
-
-
 def chunk_spans(text: str | None, size: int = 350, overlap: int = 50) -> list[tuple[int, int]]:
-    """Overlapping (start, end) spans of about `size` words that respect sentences."""
+    """Overlapping (start, end) spans of about `size` words that respect sentences.
+
+    With words counted up to each unit, both ends of a chunk are searches: its end is the last unit within size, or the next one
+    if that comes nearer and stays within 1.15 times size; the next start is the unit whose distance to the end is nearest to overlap.
+    """
     units = sentence_units(text or "")
-    spans, start, last = [], 0, -1
+    upto = list(accumulate((n for *_, n in units), initial=0))
+    spans, start, last = [], 0, 0
     while start < len(units):
-        end = _chunk_end(units, start, size)
-        if end <= last:
-            end = min(last + 1, len(units))
+        end = max(bisect_right(upto, upto[start] + size) - 1, start + 1)
+        if end < len(units) and (wide := upto[end + 1] - upto[start]) <= int(size * 1.15) and wide - size < size - (upto[end] - upto[start]):
+            end += 1
+        end = max(end, min(last + 1, len(units)))
         spans.append((units[start][0], units[end - 1][1]))
-        if end >= len(units):
+        if end == len(units):
             break
-        start, last = _next_start(units, start, end, overlap), end
+        # units whose words to the end are nearest to overlap: one on each side of it, the later one on a tie
+        near = bisect_left(upto, upto[end] - overlap)
+        options = [i for i in (near, near - 1, end - 1) if start < i < end]
+        start, last = min(options, key=lambda i: (abs(upto[end] - upto[i] - overlap), -i), default=end), end
     return spans
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.scores import LABELS, normalize_label
 from corvane.functions.text import mutate_claim, simple_sentences, words
+from corvane.sources.store import materialise
 
 
 def labelled(df: DataFrame, truth: str, guess: str, *keep: str) -> DataFrame:
@@ -60,13 +61,18 @@ def recommended_threshold(sweep: DataFrame, target: float = 0.98) -> DataFrame:
     return sweep.agg(F.min(F.when(F.col("precision") >= target, F.col("threshold"))).alias("threshold"))
 
 
-def numbered(df: DataFrame, by: str, name: str = "pos", parts: int = 64) -> DataFrame:
-    """Position from 0 in the order of `by`: range partitions are numbered on their own and shifted by the sizes before them."""
-    spread = df.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id())
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
-    return spread.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
+def numbered(df: DataFrame, by: str, name: str = "pos") -> DataFrame:
+    """Position from 0 in the order of `by`: range partitions are sorted and numbered on their own and shifted by the sizes before them.
+
+    The partitions are written down once with their numbers: a range exchange that is planned twice may sample other bounds, and
+    sizes of one would then shift rows of the other.
+    """
+    spread = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_id", F.monotonically_increasing_id())
+    spread = materialise(spread, "numbered")  # _id: the partition in the upper bits, the place in it in the lower 33
+    place = spread.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_own"))
+    sizes = place.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
+    return place.join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_id", "_part", "_own", "_before")
 
 
 def rotate_evidence(df: DataFrame, key: str, evidence: str, by: int = 45) -> DataFrame:

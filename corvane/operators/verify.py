@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import legal
-from corvane.functions.scores import badge, dot
+from corvane.functions.scores import badge, dot, let
 from corvane.functions.text import bm25_tokens, snippet
 from corvane.operators.retrieve import EPSILON, B, K1
 
@@ -102,13 +102,21 @@ def report(verdicts: DataFrame, summary: DataFrame, *response: str) -> DataFrame
     return summary.join(lines, list(response)).select(*response, F.concat(head, F.col("_lines")).alias("report"))
 
 
-def bm25_verifier(pairs: DataFrame, threshold: float = 8.0) -> DataFrame:
-    """Score of a claim against its one passage as a corpus of one: every idf is negative and floored, so no score is above 0."""
+def bm25_pair_score(claim: Column, passage: Column) -> Column:
+    """Score of claim tokens against passage tokens as a corpus of one: every idf is negative and floored, so no score is above 0.
+
+    The passage is read once, for its tokens that the claim holds; each claim token is counted among these few.
+    """
     ones = (F.log(F.lit(0.5)) - F.log(F.lit(1.5))) * EPSILON
-    pairs = pairs.withColumns({"_c": bm25_tokens(F.col("claim_text")), "_t": bm25_tokens(F.col("text"))})
-    tf = lambda w: F.size(F.filter(F.col("_t"), lambda x: x == w)).cast("double")
-    score = F.round(F.aggregate("_c", F.lit(0.0), lambda s, w: s + ones * tf(w) * (K1 + 1) / (tf(w) + K1 * (1 - B + B))), 6)
-    pairs = pairs.withColumn("score", F.when((F.size("_c") > 0) & (F.size("_t") > 0), score).otherwise(0.0)).drop("_c", "_t")
+    term = lambda tf: ones * tf * (K1 + 1) / (tf + K1 * (1 - B + B))
+    shared = F.struct(claim.alias("c"), F.filter(passage, lambda x: F.array_contains(claim, x)).alias("held"))
+    summed = let(shared, lambda s: F.aggregate(F.transform(s["c"], lambda w: F.size(F.filter(s["held"], lambda x: x == w)).cast("double")), F.lit(0.0), lambda x, tf: x + term(tf)))
+    return F.when((F.size(claim) > 0) & (F.size(passage) > 0), F.round(summed, 6)).otherwise(0.0)
+
+
+def bm25_verifier(pairs: DataFrame, threshold: float = 8.0, claim: str = "claim_tokens", passage: str = "passage_tokens") -> DataFrame:
+    """Adds score, verdict and confidence to rows with both token arrays (see bm25_tokens); tokenise each text once, before pairing."""
+    pairs = pairs.withColumn("score", bm25_pair_score(F.col(claim), F.col(passage)))
     return pairs.withColumns({"verdict": F.when(F.col("score") >= threshold, "SUPPORTED").otherwise("UNSUPPORTED"), "confidence": F.least(F.lit(1.0), F.col("score") / 20)})
 
 

@@ -17,7 +17,7 @@ def claims_stream(spark: SparkSession, path: str) -> DataFrame:
 def stream_scores(claims: DataFrame, index: Bm25Index) -> DataFrame:
     """BM25 contributions of streamed claims against a static index, a row per claim, document and term (stream-static joins)."""
     terms = claims.select("claim_id", "ts", F.explode_outer(bm25_tokens(F.col("claim_text"))).alias("term")).where("term IS NOT NULL")
-    hits = terms.join(index.terms, "term").join(index.postings, "term").join(index.lengths, "key").crossJoin(F.broadcast(index.totals))
+    hits = terms.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.totals))
     return hits.select("claim_id", "ts", "key", "term", term_score(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("score"))
 
 

@@ -192,3 +192,62 @@ def test_resumed_shards(spark, tmp_path):
     sinks.resume_shards(spark.createDataFrame([(0, "a"), (1, "b")], "shard int, x string"), path, "shard")
     got = sinks.resume_shards(spark.createDataFrame([(1, "again"), (2, "c")], "shard int, x string"), path, "shard")
     assert sorted((r.shard, r.x) for r in got.collect()) == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_numbered_is_right_at_any_size(spark):
+    """Far more rows than a range sample holds, with a payload that one side of a self join doesn't need."""
+    rows = spark.range(1_000_000).selectExpr("(id * 7919) % 1000003 AS k", "repeat('x', 40) AS payload")
+    placed = evaluate.numbered(rows, "k")
+    want = rows.select("k").rdd.map(lambda r: r.k).collect()
+    assert placed.where(F.length("payload") < 40).count() == 0
+    got = placed.select("k", "pos").toPandas().sort_values("pos")
+    assert got["k"].tolist() == sorted(want) and got["pos"].tolist() == list(range(1_000_000))
+
+
+def test_rotation_is_right_at_any_size(spark):
+    rows = spark.range(300_000).selectExpr("id AS k", "cast(id AS string) AS e")
+    wrong = evaluate.rotate_evidence(rows, "k", "e").where("other_k <> (k + 45) % 300000 OR rotated <> cast(other_k AS string)")
+    assert wrong.count() == 0
+
+
+def test_bounded_search_equals_scoring_all(spark):
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(60_000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 30 : i * 30 + rng.randint(1, 60)])) for i in range(1500)], "key long, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for i in range(120)] + [(900, "nothing known"), (901, ""), (902, None)], "q long, text string")
+    index = retrieve.bm25_index(docs, "key", "text")
+    all_ = retrieve.top_k(retrieve.bm25_scores(index, asked, "q", "text"), "query", "key", 5)
+    got = retrieve.bm25_search(index, asked, "q", "text", 5)
+    assert sorted(map(tuple, got.select("query", "key", "score", "rank").collect())) == sorted(map(tuple, all_.select("query", "key", "score", "rank").collect()))
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "alpha beta"), ("d2", "gamma delta"), ("d3", "other words")], "doc_id string, text string")
+    retrieve.bm25_index(docs, "doc_id", "text").save(str(tmp_path / "index"))
+    index = retrieve.Bm25Index.load(spark, str(tmp_path / "index"), 3)
+    asked = spark.createDataFrame([(1, "Gamma")], "q int, t string")
+    assert [(r.key, r.rank) for r in retrieve.bm25_search(index, asked, "q", "t").collect()] == [("d2", 1)]
+    with pytest.raises(ValueError):
+        retrieve.Bm25Index.load(spark, str(tmp_path / "index"), 4)
+
+
+def test_dense_blocks_equal_one_broadcast(spark, monkeypatch):
+    vectors = spark.range(60).selectExpr("id", "transform(sequence(1, 8), x -> cast(sin(id * x) AS float)) AS v")
+    want = sorted(map(tuple, retrieve.dense_search(vectors, vectors, "id", "v", "id", "v", 3).collect()))
+    monkeypatch.setattr(retrieve, "BROADCAST_BYTES", 1000)
+    assert sorted(map(tuple, retrieve.dense_search(vectors, vectors, "id", "v", "id", "v", 3).collect())) == want
+
+
+def test_stemmer():
+    known = {"ponies": "poni", "ties": "tie", "agreed": "agre", "motoring": "motor", "troubled": "troubl", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "sensibiliti": "sensibl", "electrical": "electr", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "controll": "control"}
+    assert {w: rouge.stem(w) for w in known} == known
+
+
+def test_chunk_ends_and_overlaps():
+    text = " ".join(f"S{i} " + "w " * 38 + "end." for i in range(40))  # 40 sentences of 40 words
+    spans = corpus.chunk_spans(text)
+    assert [len(text[a:b].split()) for a, b in spans] == [360] * 4 + [320]  # 9 units are nearer to 350 than 8; one unit of 40 is the nearest to 50
+    assert [text[a : a + 3].strip() for a, _ in spans] == ["S0", "S8", "S16", "S24", "S32"]
+    long = " ".join(["word"] * 130 + ["cut,"] + ["word"] * 90)
+    assert [n for *_, n in corpus.sentence_units(long)] == [100, 100, 21]
+    assert [n for *_, n in corpus.sentence_units(" ".join(["word"] * 59 + ["cut,"] + ["word"] * 60))] == [60, 60]
