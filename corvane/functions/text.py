@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,8 @@ def last_words(text: Column, n: int = 10) -> Column:
     return F.array_join(F.slice(own, F.greatest(F.size(own) - n + 1, F.lit(1)), n), " ")
 
 
-#: Words before a full stop that don't end a sentence.
-ABBREVIATIONS = "v vs no nos sec secs art dr mr mrs ms rs hon ltd co inc al ibid id sk md st u w cj".split()
+#: Words before a full stop that don't end a sentence, and the pattern of a sentence's end.
+ABBREVIATIONS = ["v", "vs", "no", "nos", "sec", "secs", "art", "dr", "mr", "mrs", "ms", "rs", "hon", "ltd", "co", "inc", "al", "ibid", "id", "sk", "md", "st", "u", "w", "cj"]
 _BOUNDARY = r"""((?:(?<=[A-Za-z0-9])(?<!(?<![A-Za-z0-9])(?i:%s))|(?<=[)\]"']))[.!?]["')]*)(\s+)(?=[A-Z0-9"'(\[])""" % "|".join(ABBREVIATIONS)
 CUT = "\u0001"
 
@@ -58,6 +60,7 @@ def simple_sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+", -1), lambda s: s != "")
 
 
+#: Where a claim's sentence ends, and the connectives that cut it.
 _CLAIM_SENTENCE = r"""(?<=[.!?])\s+(?=[A-Z0-9"'])"""
 _CONNECTIVE = r"(?i);|\b(?:and|but|whereas|furthermore|moreover)\b"
 
@@ -81,6 +84,18 @@ def decompose_claims(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return numbered.select(*keys, (F.col("_i") + 1).alias("claim_index"), "_x.claim_text", "_x.source_sentence", F.lit("rule_based").alias("method"))
 
 
+def decompose(df: DataFrame, text: str, *keys: str, method: str = "auto", ask: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Claims by rule, or by a model's replies: ask adds a column `reply` (a JSON list) to df.  A reply that is no list, and any
+    method but "llm" and "auto", falls back to the rules; "auto" asks only where there is someone to ask."""
+    if ask is None or method not in ("llm", "auto"):
+        return decompose_claims(df, text, *keys)
+    replies = ask(df).withColumn("_claims", parse_claim_list(F.col("reply")))
+    found = F.size(F.coalesce("_claims", F.array().cast("array<string>"))) > 0
+    ruled = decompose_claims(replies.where(~found), text, *keys)
+    asked = replies.where(found).select(*keys, F.posexplode("_claims").alias("_i", "claim_text"), F.col(text).alias("source_sentence"))
+    return ruled.unionByName(asked.select(*keys, (F.col("_i") + 1).alias("claim_index"), "claim_text", "source_sentence", F.lit("llm").alias("method")))
+
+
 def parse_claim_list(reply: Column) -> Column:
     """The strings of a JSON list, with or without a code fence; null where the reply is no such list."""
     body = F.regexp_replace(trimmed(reply), r"^```(?:json)?\s*|\s*```$", "")
@@ -105,7 +120,10 @@ def repair_standalone_number(text: Column) -> Column:
 
 
 #: Phrases in which "number" is a noun.
-NUMBER_PHRASES = ["number\\s+of"] + [w + "\\s+number" for w in "the a large small total any case serial registration order rule section item page equal greater lesser in".split()]
+NUMBER_PHRASES = [
+    r"number\s+of", r"the\s+number", r"a\s+number", r"large\s+number", r"small\s+number", r"total\s+number", r"any\s+number", r"case\s+number", r"serial\s+number",
+    r"registration\s+number", r"order\s+number", r"rule\s+number", r"section\s+number", r"item\s+number", r"page\s+number", r"equal\s+number", r"greater\s+number", r"lesser\s+number", r"in\s+number",
+]
 
 
 def legit_number_count(text: Column) -> Column:
@@ -116,6 +134,7 @@ def legit_number_count(text: Column) -> Column:
     return total.cast("long")
 
 
+#: Fixed value: Roman numerals after a "number".
 _ROMAN = "(?:i|ii|iii|iv|v|vi|vii|viii|ix|x)"
 
 

@@ -11,10 +11,11 @@ from corvane import streaming
 from corvane.functions import legal
 from corvane.functions import scores as S
 from corvane.functions import text as T
-from corvane.operators import corpus, evaluate, retrieve, verify
+from corvane.operators import audit, corpus, encode, evaluate, experiments, retrieve, verify
 from corvane.plans import fixtures
 from corvane.plans.api import Engine
 from corvane.sources import table
+from corvane.sources.store import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,13 +39,14 @@ def _tokens(text: str) -> str:
 
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
 _BM25 = f"""
-tok AS (SELECT doc_id AS key, {_tokens('text')} AS t FROM documents),
+tok AS MATERIALIZED (SELECT doc_id AS key, {_tokens('text')} AS t FROM documents),
 len AS (SELECT key, len(t) AS dl FROM tok),
-post AS (SELECT term, key, count(*) AS tf FROM (SELECT key, unnest(t) AS term FROM tok) GROUP BY 1, 2),
+post AS MATERIALIZED (SELECT term, key, count(*) AS tf FROM (SELECT key, unnest(t) AS term FROM tok) GROUP BY 1, 2),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, tot),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY 1),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, tot),
+floor_ AS MATERIALIZED (SELECT 0.25 * avg(r) AS low FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN r < 0 THEN low ELSE r END AS idf FROM raw, floor_)
 """
 
 
@@ -168,12 +170,41 @@ def dense_scoped_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _dense(spark, sf, 5, scoped=True).withColumn("rank", F.col("rank").cast("long"))
 
 
-@registered(f"""WITH {_DENSE}, d AS ({_DENSE_TOP.format('', 10)}), l AS ({_DENSE_TOP.format('WHERE label = qlabel', 10)}),
-u AS (SELECT query, key, rank, 0 AS list FROM d UNION ALL SELECT query, key, rank, 1 AS list FROM l),
+def _vector(text: str) -> str:
+    """SQL of encode.hashed_vector."""
+    counts = f"list_transform(range({encode.DIMENSIONS}), lambda i: len(list_filter(list_transform({_tokens(text)}, lambda t: CAST('0x' || md5(t)[1:6] AS BIGINT) % {encode.DIMENSIONS}), lambda x: x = i))::DOUBLE)"
+    return f"(SELECT CASE WHEN list_sum(c) > 0 THEN list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) ELSE c END FROM (SELECT {counts} AS c))"
+
+
+_ENCODED = f"""
+dv AS MATERIALIZED (SELECT doc_id AS key, {_vector('text')} AS v FROM documents), qv AS MATERIALIZED (SELECT item_id AS query, {_vector('text')} AS q FROM benchmark),
+dr AS (SELECT query, key, round(list_dot_product(q, v), 6) AS score FROM qv, dv),
+dense AS (SELECT query, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM dr) WHERE rank <= 10)
+"""
+
+
+def _dense_text(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    items, docs = (encode.encode(table(spark, sf, name).select(key, "text"), "text") for name, key in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return retrieve.dense_search(items, docs, "item_id", "vector", "doc_id", "vector", k)
+
+
+@registered(f"SELECT doc_id, list_transform({_vector('text')}, lambda x: round(x, 6)) AS vector FROM documents")
+def encode_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.encode(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@registered(f"WITH {_ENCODED} SELECT query AS item_id, key AS doc_id, score, rank FROM dense")
+def dense_text_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _dense_text(spark, sf).select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@registered(f"""WITH {_BM25}, {_bm25_hits(_ITEMS)}, {_ENCODED},
+u AS (SELECT query, key, rank, 0 AS list FROM dense UNION ALL SELECT query, key, rank, 1 AS list FROM ranked WHERE rank <= 10),
 f AS (SELECT query, key, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000000 + rank) AS first FROM u GROUP BY 1, 2)
 SELECT query, key, round(score, 6) AS score, rank, 'hybrid_rrf' AS method FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, first, key) AS rank FROM f) WHERE rank <= 10""")
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieve.reciprocal_rank_fusion(_dense(spark, sf, 10), _dense(spark, sf, 10, scoped=True), 10).withColumn("rank", F.col("rank").cast("long"))
+    """Dense hits and BM25 hits of the same texts."""
+    return retrieve.reciprocal_rank_fusion(_dense_text(spark, sf), _bm25(spark, sf, 10), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---------------------------------------------------------------- verification
@@ -200,67 +231,71 @@ def verify_flagship(spark: SparkSession, sf: str) -> DataFrame:
     return verify.trust(verdicts, "conv_id").select("conv_id", "trust_score", "total_claims", "n_supported", "n_contradicted", "n_unsupported")
 
 
-_ANCHORS = [(1, 1, None), (1, 2, "a"), (1, 3, "b"), (2, 1, "c"), (2, 2, "c"), (3, 1, None)]
+_TOP20 = f"WITH {_DENSE} {_DENSE_TOP.format('', 20)}"
 
 
 @registered(f"""SELECT claim, rank, doc_id, anchor FROM (SELECT *, first_value(doc_id IGNORE NULLS) OVER (PARTITION BY claim ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS anchor
-FROM {_values(_ANCHORS, 'claim, rank, doc_id')}) WHERE anchor IS NULL OR doc_id = anchor""")
+FROM (SELECT query AS claim, rank, CASE WHEN key % 4 <> 0 THEN CAST(key % 3 AS VARCHAR) END AS doc_id FROM ({_TOP20}))) WHERE anchor IS NULL OR doc_id = anchor""")
 def docket_anchor(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.anchored(spark.createDataFrame(_ANCHORS, "claim int, rank int, doc_id string"), "claim")
+    hits = _dense(spark, sf, 20).select(F.col("query").alias("claim"), F.col("rank").cast("long").alias("rank"), F.when(F.col("key") % 4 != 0, (F.col("key") % 3).cast("string")).alias("doc_id"))
+    return verify.anchored(hits, "claim")
+
 
+_JUDGED = f"""(SELECT query AS claim, rank, 'c' || key AS chunk_id, CASE key % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'CONTRADICTED' ELSE 'UNSUPPORTED' END AS verdict, (key % 97) / 100 AS confidence, (key % 89) / 100 AS neutral,
+key % 7 AS d, key % 5 AS h FROM ({_TOP20}) WHERE key % 3 <> 1 OR query % 200 = 0)"""
 
-_PASSAGES = [
-    (1, 1, "c11", "SUPPORTED", 0.95, 0.02, 0, 0), (1, 2, "c12", "CONTRADICTED", 0.80, 0.10, 0, 0), (2, 1, "c21", "SUPPORTED", 0.90, 0.05, 0, 0), (2, 2, "c22", "SUPPORTED", 0.90, 0.05, 0, 0),
-    (3, 1, "c31", "UNSUPPORTED", 0.60, 0.60, 0, 0), (3, 2, "c32", "UNSUPPORTED", 0.75, 0.75, 0, 0), (4, 1, "c41", "SUPPORTED", 0.50, 0.40, 1, 1), (5, 1, "c51", "CONTRADICTED", 0.0, 0.9, 0, 0),
-]
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense hits as scored passages: verdicts, confidences and flags by key, with few contradictions so that all verdicts occur."""
+    key = F.col("key")
+    rows = _dense(spark, sf, 20).where((key % 3 != 1) | (F.col("query") % 200 == 0))
+    verdict = F.when(key % 3 == 0, "SUPPORTED").when(key % 3 == 1, "CONTRADICTED").otherwise("UNSUPPORTED")
+    return rows.select(F.col("query").alias("claim"), F.col("rank").cast("long").alias("rank"), F.concat(F.lit("c"), key).alias("chunk_id"), verdict.alias("verdict"), (key % 97 / 100).alias("confidence"), (key % 89 / 100).alias("p_unsupported"), (key % 7 == 1).alias("deterministic"), (key % 5 == 1).alias("high_flag"))
 
-def _verdicts(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(_PASSAGES, "claim int, rank int, chunk_id string, verdict string, confidence double, p_unsupported double, d int, h int")
-    return verify.synthesize(rows.withColumns({"deterministic": F.col("d") == 1, "high_flag": F.col("h") == 1}), "claim")
+
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.synthesize(_judged(spark, sf), "claim")
 
 
 _VERDICTS = f"""SELECT claim, CASE WHEN con THEN 'CONTRADICTED' WHEN sup THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict,
 CAST(CASE WHEN con THEN greatest(con_conf, CASE WHEN high THEN 0.85 ELSE 0.70 END) WHEN sup THEN sup_conf ELSE neutral END AS DOUBLE) AS confidence,
 CASE WHEN con THEN con_chunk WHEN sup THEN sup_chunk ELSE first END AS evidence_id FROM (SELECT claim, bool_or(c) AS con, bool_or(s) AS sup, max(confidence) FILTER (c) AS con_conf, max(confidence) FILTER (s) AS sup_conf,
-arg_max(chunk_id, confidence * 1000 - rank) FILTER (c AND confidence > 0) AS con_chunk, arg_max(chunk_id, confidence * 1000 - rank) FILTER (s) AS sup_chunk, arg_min(chunk_id, rank) AS first, max(neutral) AS neutral, bool_or(h = 1) AS high
-FROM (SELECT *, d = 1 OR verdict = 'CONTRADICTED' AS c, verdict = 'SUPPORTED' AND confidence > 0 AS s FROM {_values(_PASSAGES, 'claim, rank, chunk_id, verdict, confidence, neutral, d, h')}) GROUP BY 1)"""
+arg_max(chunk_id, confidence * 100000 - rank) FILTER (c AND confidence > 0) AS con_chunk, arg_max(chunk_id, confidence * 100000 - rank) FILTER (s) AS sup_chunk, arg_min(chunk_id, rank) AS first, max(neutral) AS neutral, bool_or(h = 1) AS high
+FROM (SELECT *, d = 1 OR verdict = 'CONTRADICTED' AS c, verdict = 'SUPPORTED' AND confidence > 0 AS s FROM {_JUDGED}) GROUP BY 1)"""
 
 
 @registered(_VERDICTS)
 def verdict_synthesis(spark: SparkSession, sf: str) -> DataFrame:
-    return _verdicts(spark)
+    return _verdicts(spark, sf)
 
 
 @registered(f"""SELECT round(greatest(0, least(1, (sum(CASE WHEN verdict = 'SUPPORTED' THEN confidence ELSE 0 END) - sum(CASE WHEN verdict = 'CONTRADICTED' THEN confidence ELSE 0 END)) / count(*))), 4) AS trust_score,
 count(*) AS total_claims, round(100 * count(*) FILTER (verdict = 'SUPPORTED') / count(*), 2) AS pct_supported FROM ({_VERDICTS})""")
 def trust_score(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.trust(_verdicts(spark)).select("trust_score", "total_claims", "pct_supported")
+    return verify.trust(_verdicts(spark, sf)).select("trust_score", "total_claims", "pct_supported")
 
 
 @registered(f"SELECT claim AS citation_index, verdict, evidence_id AS chunk_id FROM ({_VERDICTS}) WHERE evidence_id IS NOT NULL")
 def citations(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _verdicts(spark).withColumns({"claim_index": F.col("claim"), "claim_text": F.lit("")})
-    passages = spark.createDataFrame([(p[2], p[2][:2], "text", 0, 4) for p in _PASSAGES], "chunk_id string, doc_id string, text string, char_start int, char_end int")
+    rows = _verdicts(spark, sf).withColumns({"claim_index": F.col("claim"), "claim_text": F.lit("")})
+    passages = table(spark, sf, "embeddings").select(F.concat(F.lit("c"), "vec_id").alias("chunk_id"), F.col("label").cast("string").alias("doc_id"), F.lit("text").alias("text"), F.lit(0).alias("char_start"), F.lit(4).alias("char_end"))
     return verify.citations(rows, passages, "claim").select("citation_index", "verdict", "chunk_id")
 
 
 @registered()
 def report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _verdicts(spark).withColumns({"one": F.lit(1), "claim_index": F.col("claim"), "claim_text": F.lit("A claim."), "reason": F.lit(None).cast("string"), "evidence_text": F.col("evidence_id")})
+    rows = _verdicts(spark, sf).withColumns({"one": F.lit(1), "claim_index": F.col("claim"), "claim_text": F.lit("A claim."), "reason": F.lit(None).cast("string"), "evidence_text": F.col("evidence_id")})
     return verify.report(rows, verify.trust(rows, "one"), "one")
 
 
-_LOGITS = [(1, 2.0, 0.5, -1.0), (2, -1.0, 3.0, 0.0), (3, 0.1, 0.2, 0.3)]
-
-
-@registered(f"""SELECT id, round(exp(a - m) / z, 6) AS p_supported, round(exp(b - m) / z, 6) AS p_contradicted, CASE WHEN exp(a - m) / z >= 0.7 THEN 'SUPPORTED' WHEN exp(b - m) / z >= 0.7 THEN 'CONTRADICTED' ELSE 'UNSUPPORTED' END AS verdict,
+@registered("""SELECT vec_id, round(exp(a - m) / z, 6) AS p_supported, round(exp(b - m) / z, 6) AS p_contradicted, CASE WHEN exp(a - m) / z >= 0.7 THEN 'SUPPORTED' WHEN exp(b - m) / z >= 0.7 THEN 'CONTRADICTED' ELSE 'UNSUPPORTED' END AS verdict,
 round(CASE WHEN exp(a - m) / z >= 0.7 THEN exp(a - m) / z WHEN exp(b - m) / z >= 0.7 THEN exp(b - m) / z ELSE exp(c - m) / z END, 6) AS confidence
-FROM (SELECT *, exp(a - m) + exp(b - m) + exp(c - m) AS z FROM (SELECT *, greatest(a, b, c) AS m FROM {_values(_LOGITS, 'id, a, b, c')}))""")
+FROM (SELECT *, exp(a - m) + exp(b - m) + exp(c - m) AS z FROM (SELECT *, greatest(a, b, c) AS m FROM (SELECT vec_id, 8 * embedding[1]::DOUBLE AS a, 8 * embedding[2]::DOUBLE AS b, 8 * embedding[3]::DOUBLE AS c FROM embeddings)))""")
 def nli_decide(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(_LOGITS, "id int, a double, b double, c double").withColumn("p", S.softmax(F.array("a", "b", "c")))
+    """Numbers of the vectors as logits."""
+    rows = table(spark, sf, "embeddings").select("vec_id", S.softmax(F.transform(F.slice("embedding", 1, 3), lambda x: 8 * x.cast("double"))).alias("p"))
     p = [F.col("p")[i] for i in range(3)]
-    return rows.select("id", F.round(p[0], 6).alias("p_supported"), F.round(p[1], 6).alias("p_contradicted"), S.nli_verdict(p[0], p[1]).alias("verdict"), F.round(S.nli_confidence(*p), 6).alias("confidence"))
+    return rows.select("vec_id", F.round(p[0], 6).alias("p_supported"), F.round(p[1], 6).alias("p_contradicted"), S.nli_verdict(p[0], p[1]).alias("verdict"), F.round(S.nli_confidence(*p), 6).alias("confidence"))
 
 
 def _legal_sql(kind: str, text: str) -> str:
@@ -287,24 +322,28 @@ def legal_flags(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", has("PROVISION_MISMATCH").alias("provision_flag"), has("CITATION_MISMATCH").alias("citation_flag"), has("DATE_MISMATCH").alias("date_flag"), "deterministic")
 
 
-_PAIR = "SELECT b.item_id, d.doc_id, b.text AS claim, d.text AS passage FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40"
+_PAIR = f"SELECT b.item_id, d.doc_id, b.text AS claim, d.text AS passage FROM ranked JOIN benchmark b ON b.item_id = query JOIN documents d ON d.doc_id = key WHERE rank <= 5"
 _TF = "len(list_filter(t, lambda x: x = w))"
 
 
-@registered(f"""SELECT item_id, doc_id, score, 'UNSUPPORTED' AS verdict FROM (SELECT item_id, doc_id, CASE WHEN len(c) > 0 AND len(t) > 0 THEN round(coalesce(list_sum(list_transform(c, lambda w: (ln(0.5) - ln(1.5)) * 0.25 * {_TF} * 2.5 / ({_TF} + 1.5))), 0), 6) ELSE 0 END AS score
+@registered(f"""WITH {_BM25}, {_bm25_hits(_ITEMS)} SELECT item_id, doc_id, score, 'UNSUPPORTED' AS verdict FROM (SELECT item_id, doc_id, CASE WHEN len(c) > 0 AND len(t) > 0 THEN round(coalesce(list_sum(list_transform(c, lambda w: (ln(0.5) - ln(1.5)) * 0.25 * {_TF} * 2.5 / ({_TF} + 1.5))), 0), 6) ELSE 0 END AS score
 FROM (SELECT item_id, doc_id, {_tokens('claim')} AS c, {_tokens('passage')} AS t FROM ({_PAIR})))""")
 def bm25_verifier(spark: SparkSession, sf: str) -> DataFrame:
-    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    pairs = items.select("item_id", F.col("text").alias("claim_text"), (F.col("item_id") % 40).alias("k")).join(docs.select("doc_id", "text", (F.col("doc_id") % 40).alias("k")), "k")
-    return verify.bm25_verifier(pairs, 2.5).select("item_id", "doc_id", "score", "verdict")
+    """Each item against its five best BM25 documents."""
+    items = table(spark, sf, "benchmark").select("item_id", T.bm25_tokens(F.col("text")).alias("claim_tokens"))
+    docs = table(spark, sf, "documents").select("doc_id", T.bm25_tokens(F.col("text")).alias("passage_tokens"))
+    hits = _bm25(spark, sf).select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"))
+    return verify.bm25_verifier(hits.join(items, "item_id").join(docs, "doc_id"), 2.5).select("item_id", "doc_id", "score", "verdict")
 
 
-@registered("""SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score, CASE WHEN round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.55 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict
-FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+@registered(f"""WITH {_BM25}, {_bm25_hits(_ITEMS)} SELECT item_id, doc_id, score, CASE WHEN score >= 0.55 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict
+FROM (SELECT item_id, doc_id, round(list_dot_product({_vector('claim')}, {_vector('passage')}), 6) AS score FROM ({_PAIR}))""")
 def cosine_verifier(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings")
-    pairs = rows.select("vec_id", F.col("embedding").alias("a")).join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
-    return verify.cosine_verifier(pairs, "a", "b", 0.55).select("vec_id", "score", "verdict")
+    """Each item against its five best BM25 documents, both encoded."""
+    items, docs = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("claim")), table(spark, sf, "documents").select("doc_id", "text")
+    hits = _bm25(spark, sf).select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"))
+    pairs = encode.encode(encode.encode(hits.join(items, "item_id").join(docs, "doc_id"), "claim", "a"), "text", "b")
+    return verify.cosine_verifier(pairs, "a", "b", 0.55).select("item_id", "doc_id", "score", "verdict")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -389,13 +428,12 @@ def balanced_labels(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.numbered(table(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", evaluate.balanced_label(F.col("pos")).alias("gold_label"))
 
 
-_MUTATE = [(1, "The appeal was allowed by the High Court."), (2, "The accused was acquitted in 1998."), (3, "This is a plain sentence."), (4, "The decree of 2004 stands."), (5, "HIGH COURT orders were final.")]
 _MUTATED = "CASE " + " ".join(f"WHEN regexp_matches(c, '(?i){p}') THEN regexp_replace(c, '(?i){p}', '{r}')" for p, r in T.MUTATIONS) + " ELSE replace(replace('It was conclusively held that ' || lower(c[1]) || c[2:], 'is', 'is not'), 'was', 'was not') END"
 
 
-@registered(f"SELECT id, {_MUTATED} AS claim FROM {_values(_MUTATE, 'id, c')}")
+@registered(f"WITH {_CLAIMS} SELECT conv_id, turn, claim_index, {_MUTATED} AS claim FROM (SELECT *, claim_text AS c FROM claims)")
 def mutate_claim(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_MUTATE, "id int, c string").select("id", T.mutate_claim(F.col("c")).alias("claim"))
+    return _claims(spark, sf).select("conv_id", "turn", "claim_index", T.mutate_claim(F.col("claim_text")).alias("claim"))
 
 
 _SPLIT = "CASE WHEN CAST('0x' || md5(doc_id || ':split')[1:6] AS BIGINT) % 10000 < 3500 THEN 'dev' ELSE 'test' END"
@@ -415,7 +453,7 @@ def leakage_check(spark: SparkSession, sf: str) -> DataFrame:
 @registered()
 def nei_pairing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), "text")
-    return evaluate.build_triples(docs, 60, 150).select("example_id", "doc_id", "chunk_id", "claim", "gold_label", "claim_type", "is_perturbed")
+    return evaluate.build_triples(docs).select("example_id", "doc_id", "chunk_id", "claim", "gold_label", "claim_type", "is_perturbed")
 
 
 @registered("""SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(source || ':' || doc_id), doc_id) AS n FROM documents) WHERE n <= 10""")
@@ -423,6 +461,37 @@ def per_class_sample(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.per_class_sample(table(spark, sf, "documents").select("doc_id", "source", "lang"), "source", "doc_id", per_class_rows=10)
 
 
+def _triples(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), "text")
+    return materialise(evaluate.build_triples(docs), "triples")
+
+
+@registered()
+def experiment_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    """Four verifiers on built triples."""
+    return evaluate.metrics(experiments.baselines(experiments.verdicts(_triples(spark, sf))), "system")
+
+
+@registered()
+def experiment_legal_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.metrics(experiments.legal_check_grid(experiments.verdicts(_triples(spark, sf))), "system")
+
+
+@registered()
+def experiment_ablations(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.metrics(experiments.ablations(experiments.verdicts(_triples(spark, sf))), "system")
+
+
+@registered()
+def experiment_robustness(spark: SparkSession, sf: str) -> DataFrame:
+    return experiments.robustness(experiments.verdicts(experiments.degraded(_triples(spark, sf))))
+
+
+@registered()
+def experiment_report(spark: SparkSession, sf: str) -> DataFrame:
+    return experiments.metrics_report(experiments.baselines(experiments.verdicts(_triples(spark, sf))))
+
+
 # ---------------------------------------------------------------- corpus
 
 @registered("SELECT text, arg_min(doc_id, doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY 1")
@@ -465,27 +534,43 @@ def chunk_docnum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CORRUPTED = "replace(replace(text, 'th', 'number'), 'con', 'company')"
-_CORRUPT_SQL = "regexp_extract_all(text, '[A-Za-z]*(?:company|number)[A-Za-z]*', 0, 'i')"
+_CORRUPT_SQL = r"list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '(?i)[A-Z]*(?:company|number)[A-Z]*'))"
 
 
 def _corrupted(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.expr(_CORRUPTED).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", F.expr(_CORRUPTED).alias("text"))
 
 
-@registered(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_CORRUPT_SQL}) AS token FROM (SELECT doc_id, {_CORRUPTED} AS text FROM documents WHERE lang = 'en')) GROUP BY 1, 2")
+@registered(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_CORRUPT_SQL}) AS token FROM (SELECT doc_id, {_CORRUPTED} AS text FROM documents)) GROUP BY 1, 2")
 def corrupt_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.corrupt_tokens(_corrupted(spark, sf), "doc_id", "text")
 
 
+def _resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens of the broken documents, and their resolutions by the words of the whole ones."""
+    found = materialise(corpus.corrupt_tokens(_corrupted(spark, sf), "doc_id", "text"), "corrupt-tokens")
+    return found, materialise(corpus.resolve_tokens(found, corpus.vocabulary(table(spark, sf, "documents"), "text")), "resolved-tokens")
+
+
 @registered()
 def repair_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.resolve_tokens(spark.createDataFrame(fixtures.TOKENS, "token string"), spark.createDataFrame(fixtures.DICTIONARY, "word string, freq double"))
+    return _resolved(spark, sf)[1]
 
 
 @registered()
 def fix_counts(spark: SparkSession, sf: str) -> DataFrame:
-    found = corpus.corrupt_tokens(spark.createDataFrame(fixtures.BROKEN, "doc_id int, text string"), "doc_id", "text")
-    return corpus.fix_counts(found, corpus.resolve_tokens(found, spark.createDataFrame(fixtures.DICTIONARY, "word string, freq double")))
+    return corpus.fix_counts(*_resolved(spark, sf))
+
+
+@registered()
+def low_confidence_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    found, resolved = _resolved(spark, sf)
+    return audit.low_confidence(resolved, found)
+
+
+@registered()
+def repair_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.repair_texts(_corrupted(spark, sf), "doc_id", "text", corpus.vocabulary(table(spark, sf, "documents"), "text"))
 
 
 @registered(f"SELECT * FROM {_values(fixtures.MENDED, 'doc_id, text')}")
@@ -501,9 +586,47 @@ def standalone_number(spark: SparkSession, sf: str) -> DataFrame:
 _PHRASES_SQL = " + ".join(f"len(regexp_extract_all(text, '\\b{p}\\b', 0, 'i'))" for p in T.NUMBER_PHRASES)
 
 
-@registered(f"SELECT id, {_PHRASES_SQL} AS n FROM {_values([x[:2] for x in fixtures.STANDALONE], 'id, text')}")
+_NUMBERED = "replace(replace(text, ' the ', ' the number of '), ' in ', ' and number be ')"
+_LOST = "replace(replace(text, ' the ', ' the not of '), ' in ', ' and number be ')"
+
+
+@registered(f"SELECT doc_id, {_PHRASES_SQL} AS n FROM (SELECT doc_id, {_NUMBERED} AS text FROM documents)")
 def legit_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([x[:2] for x in fixtures.STANDALONE], "id int, text string").select("id", T.legit_number_count(F.col("text")).alias("n"))
+    return table(spark, sf, "documents").select("doc_id", T.legit_number_count(F.expr(_NUMBERED)).alias("n"))
+
+
+_DETERMINED = rf"(?i)\b(?:{'|'.join(audit.DETERMINERS)})\s+number\b"
+
+
+@registered(rf"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\bnumber\b')) - len(regexp_extract_all(text, '{_DETERMINED}')) - len(regexp_extract_all(text, '(?i)\bnumber\s+of\b')) + len(regexp_extract_all(text, '{_DETERMINED[:-2]}\s+of\b')) AS n
+FROM (SELECT doc_id, {_NUMBERED} AS text FROM documents)""")
+def standalone_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", audit.standalone_number_count(F.expr(_NUMBERED)).alias("n"))
+
+
+def _cleaning(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with noun phrases, and the same after a cleaning that spoiled some in odd documents."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.expr(_NUMBERED).alias("text")), docs.select("doc_id", F.when(F.col("doc_id") % 2 == 1, F.expr(_LOST)).otherwise(F.expr(_NUMBERED)).alias("text"))
+
+
+_BOTH = f"(SELECT doc_id, {_PHRASES_SQL.replace('text', 'raw')} AS b, {_PHRASES_SQL.replace('text', 'clean')} AS a FROM (SELECT doc_id, {_NUMBERED} AS raw, CASE WHEN doc_id % 2 = 1 THEN {_LOST} ELSE {_NUMBERED} END AS clean FROM documents))"
+
+
+@registered(f"SELECT doc_id, b AS before, a AS after FROM {_BOTH} WHERE b > a")
+def altered_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.altered_phrases(*_cleaning(spark, sf), "doc_id", "text")
+
+
+@registered(f"SELECT CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after, round(100 * sum(a) / sum(b), 4) AS rate FROM {_BOTH}")
+def preservation_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.preservation(*_cleaning(spark, sf), "doc_id", "text")
+
+
+@registered()
+def phrase_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of 20 examples, as the audit shows them."""
+    return audit.phrase_examples(_cleaning(spark, sf)[0], "doc_id", "text")
 
 
 @registered(f"SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, 'company[a-z]+', 0, 'i')) AS w FROM {_values(fixtures.BROKEN, 'doc_id, text')}) GROUP BY 1")
@@ -550,10 +673,48 @@ def trigger_rollup(spark: SparkSession, sf: str) -> DataFrame:
 _PROBS = ["p_not", "p_nor", "p_now", "p_non", "p_no", "p_number"]
 
 
-@registered(f"SELECT occ_id, CASE greatest({', '.join(_PROBS)}) " + " ".join(f"WHEN {p} THEN '{p[2:]}'" for p in _PROBS) + f" END AS top1, greatest({', '.join(_PROBS)})::DOUBLE AS top1_p FROM {_values(fixtures.PROBABILITIES, 'occ_id, ' + ', '.join(_PROBS))}")
+_WORDS_SQL = ", ".join(f"abs(embedding[{i + 1}]::DOUBLE) AS {p}" for i, p in enumerate(_PROBS))
+
+
+@registered(f"SELECT vec_id, CASE greatest({', '.join(_PROBS)}) " + " ".join(f"WHEN {p} THEN '{p[2:]}'" for p in _PROBS) + f" END AS top1, greatest({', '.join(_PROBS)}) AS top1_p FROM (SELECT vec_id, {_WORDS_SQL} FROM embeddings)")
 def negation_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(fixtures.PROBABILITIES, "occ_id int, " + ", ".join(f"{p} double" for p in _PROBS))
-    return rows.select("occ_id", S.first_largest(_PROBS).alias("top1"), F.greatest(*_PROBS).alias("top1_p"))
+    """Numbers of the vectors as probabilities of the six words."""
+    rows = table(spark, sf, "embeddings").select("vec_id", *[F.abs(F.col("embedding")[i].cast("double")).alias(p) for i, p in enumerate(_PROBS)])
+    return rows.select("vec_id", S.first_largest(_PROBS).alias("top1"), F.greatest(*_PROBS).alias("top1_p"))
+
+
+_OCCURRENCES = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' ' || n_chars || ' x' WHEN 1 THEN text[1:30] WHEN 2 THEN ' xi. ' || lang ELSE '.' || n_chars END AS after FROM documents"
+_THIRD_SQL = audit._THIRD.replace("'", "''")
+_ROUTED = f"(SELECT doc_id, fired, CASE WHEN fired OR doc_id % 6 = 5 THEN 'number' ELSE ['not', 'nor', 'now', 'non', 'no', 'number'][doc_id % 6 + 1] END AS guess, CASE WHEN fired THEN 1.0 ELSE (doc_id % 10) / 10 END::DOUBLE AS confidence FROM (SELECT doc_id, regexp_matches(after, '{_THIRD_SQL}') AS fired FROM ({_OCCURRENCES})))"
+_CATEGORY = "CASE WHEN guess = 'number' THEN 'GENUINE_NOUN' ELSE 'MISSED_NEGATION' END"
+
+
+def _routed(spark: SparkSession, sf: str) -> DataFrame:
+    docs, k = table(spark, sf, "documents"), F.col("doc_id") % 4
+    after = F.when(k == 0, F.concat(F.lit(" "), "n_chars", F.lit(" x"))).when(k == 1, F.substring("text", 1, 30)).when(k == 2, F.concat(F.lit(" xi. "), "lang")).otherwise(F.concat(F.lit("."), "n_chars"))
+    scores = docs.select("doc_id", F.get(F.array(*[F.lit(w) for w in audit.NEGATIONS]), (F.col("doc_id") % 6).cast("int")).alias("guess"), (F.col("doc_id") % 10 / 10).alias("confidence"))
+    return audit.routed(docs.select("doc_id", after.alias("after")), scores, "doc_id", "after")
+
+
+@registered(f"SELECT doc_id, fired AS rule_fired, guess, confidence, {_CATEGORY} AS category FROM {_ROUTED}")
+def routed_negations(spark: SparkSession, sf: str) -> DataFrame:
+    return _routed(spark, sf).select("doc_id", "rule_fired", "guess", "confidence", "category")
+
+
+_AUDITED = "CASE WHEN doc_id % 5 < 3 THEN 'GENUINE_NOUN' ELSE 'MISSED_NEGATION' END"
+
+
+@registered(f"SELECT count(*) AS n, count(*) FILTER ({_CATEGORY} = {_AUDITED}) AS agreements, round(count(*) FILTER ({_CATEGORY} = {_AUDITED}) / count(*), 4) AS share FROM {_ROUTED}")
+def audit_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    audited = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 < 3, "GENUINE_NOUN").otherwise("MISSED_NEGATION").alias("label"))
+    return audit.agreement(_routed(spark, sf), audited, "doc_id", "label")
+
+
+@registered(f"""SELECT word, tp, support, round(pr, 4) AS precision, round(re, 4) AS recall, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 4) AS f1 FROM (SELECT *, coalesce(tp / nullif(pp, 0), 0) AS pr, coalesce(tp / nullif(support, 0), 0) AS re
+FROM (SELECT word, count(*) FILTER (t = word AND guess = word) AS tp, count(*) FILTER (guess = word) AS pp, count(*) FILTER (t = word) AS support FROM (SELECT guess, {audit.NEGATIONS}[doc_id % 6 + 1] AS t FROM {_ROUTED}), (SELECT unnest({audit.NEGATIONS}) AS word) GROUP BY 1))""")
+def negation_classes(spark: SparkSession, sf: str) -> DataFrame:
+    truth = F.get(F.array(*[F.lit(w) for w in audit.NEGATIONS]), (F.col("doc_id") % 6).cast("int"))
+    return audit.word_classes(_routed(spark, sf).withColumn("truth", truth), "truth", "guess")
 
 
 @registered()
