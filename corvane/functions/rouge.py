@@ -4,12 +4,12 @@ rows are bit vectors, one machine operation per 60-odd tokens."""
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+CACHED_WORDS = 1 << 16
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 #: Endings and what takes their place in steps 2 to 4 of Porter's algorithm, with the later additions in common use.
@@ -77,9 +77,16 @@ def _past(word: str) -> str:
     return word
 
 
-@lru_cache(1 << 16)
-def stem(word: str) -> str:
+def stem(word: str, known: dict[str, str] = {}) -> str:  # noqa: B006
     """Porter's stemmer (1980) with the additions in common use; words of up to three letters stay."""
+    if word not in known:
+        if len(known) >= CACHED_WORDS:
+            known.clear()
+        known[word] = _stem(word)
+    return known[word]
+
+
+def _stem(word: str) -> str:
     if len(word) <= 3:
         return word
     if word in IRREGULAR:

@@ -69,9 +69,15 @@ _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 def mix64(x: np.ndarray) -> np.ndarray:
     """Splitmix finaliser: a bijection of 64-bit words whose bits all depend on all input bits."""
     x = np.asarray(x, dtype=U64)
-    x = (x ^ (x >> U64(30))) * _M1
-    x = (x ^ (x >> U64(27))) * _M2
-    return x ^ (x >> U64(31))
+    out = x >> U64(30)
+    out ^= x
+    out *= _M1
+    rest = out >> U64(27)
+    out ^= rest
+    out *= _M2
+    np.right_shift(out, U64(31), out=rest)
+    out ^= rest
+    return out
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=U64)) | U64(1)
@@ -105,6 +111,15 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * _STEP)
 
 
+def gram_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the size symbols from each place on; the same wherever they stand."""
+    n = max(len(prefix) - size, 0)
+    _, down = _powers(len(prefix))
+    out = prefix[size:] - prefix[:n]
+    out *= down[:n]
+    return mix64(out)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and each row's offsets in them; null rows are empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

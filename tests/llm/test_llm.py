@@ -170,6 +170,15 @@ def test_line_dedup_of_repeated_ids(spark):
     assert line_dedup.dropped_lines(docs.limit(0)).collect() == []
 
 
+def test_edit_distances_side_by_side():
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abcé😀") for _ in range(rng.randint(0, 90))) for _ in range(700)]
+    b = [edited(rng, x, rng.choice([0, 1, 3, 9, 25, 45])) if rng.random() < 0.9 else "" for x in a]
+    d = [distance(x, y) for x, y in zip(a, b, strict=True)]
+    for k in (0, 1, 4, 12, 31, 40):
+        assert line_dedup.pairs_within(a, b, [k] * len(a)).tolist() == [x <= k for x in d], k
+
+
 def test_line_dedup_tells_hash_twins_apart(spark):
     """A Thue-Morse line and its complement have one value under any polynomial hash modulo 2**64."""
     line = "".join("ab"[i.bit_count() & 1] for i in range(2048))
@@ -488,6 +497,91 @@ def test_html_copies_with_another_advert_keep_their_text(spark):
     assert {r.text for r in html_text.extract_text(frame).collect()} == {"One and the same text of many words on two pages of a host"}
 
 
+def text_of(page):
+    return "\n".join(t for k, t in html_text.blocks(page) if k == "main")
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<article><p title="a hidden gem">Kept</p></article>', "Kept"),
+    ('<article><p data-id="ad">Kept</p></article>', "Kept"),
+    ('<article><p class="long-form">Kept</p></article>', "Kept"),
+    ('<article><div class="article-header">Kept</div><p>Too</p></article>', "Kept\nToo"),
+    ('<aside class="sidebar"><article>Gone</article></aside><article>Kept</article>', "Kept"),
+    ('<section class="comments"><article>Gone</article></section><article>Kept</article>', "Kept"),
+    ('<article><p class="ad">Gone<p>Kept</article>', "Kept"),
+    ('<div class=ad>never closed<article><p>Kept</p></article>', "Kept"),
+    ('<article><ul><li class=ad>Gone<li>Kept</ul></article>', "Kept"),
+    ('<article><div id="cookie-notice">Gone</div><aside>Gone</aside><form>Gone</form><header>Kept</header></article>', "Kept"),
+    ('<article>a &lt;b&gt; &amp;amp; &#233;&nbsp;c<script>if (a < b) "</article>"</script><style>x</style><!-- no --></article>', "a <b> &amp; é c"),
+    ('<article><div class="newsletterSignup">Gone</div><div role="complementary">Gone</div><div hidden>Gone</div><p aria-hidden="false">Kept</article>', "Kept"),
+    ('<article><table><tr><td>a<td>b<tr><td>c</table></article>', "a\nb\nc"),
+    ('<article><p>1 < 2 and x<y</p><title>no</title></article>', "1 < 2 and x"),
+])
+def test_html_parsing(page, want):
+    assert text_of(page) == want
+
+
+def template_cover(streams, size, least):
+    """Token places under substrings of size or more tokens that stand in at least `least` distinct streams, from a whole suffix array."""
+    suffixes = sorted((s[i:], k, i) for k, s in enumerate(streams) for i in range(len(s)))
+    covered = [[False] * len(s) for s in streams]
+    for own, k, i in suffixes:
+        for n in range(size, len(own) + 1):
+            if len({j for other, j, _ in suffixes if other[:n] == own[:n]}) < least:
+                break
+            for p in range(i, i + n):
+                covered[k][p] = True
+    return covered
+
+
+def test_html_repeats_equal_a_suffix_array(spark):
+    rng = random.Random(14)
+    lines = [[f"t{rng.randint(0, 60)}" for _ in range(rng.randint(3, 14))] for _ in range(6)]
+    streams = []
+    for _ in range(14):
+        s = []
+        for _ in range(4):
+            s += rng.choice(lines) if rng.random() < 0.6 else [f"u{rng.randint(0, 999)}" for _ in range(rng.randint(1, 9))]
+        streams.append(s)
+    frame = spark.createDataFrame([(i, "http://h.example/x", f"<p>{' '.join(s)}</p>") for i, s in enumerate(streams)] + [(99, "http://other.example/", f"<p>{' '.join(streams[0])}</p>")], "page_id long, url string, html string")
+    parsed = common.materialise(html_text._parsed(frame.repartition(3), 8), "test-pages")
+    got = {r.host: {x.prefix for x in r.templates} for r in html_text.template_windows(parsed, 5, 3, 0.0).collect()}
+    want = template_cover(streams, 8, 3)
+    assert len(got) == 1 and sum(map(sum, want)) > 100
+    for r in parsed.where("page_id <> 99").collect():
+        own = [False] * len(streams[r.page_id])
+        for i, w in enumerate(np.frombuffer(r.windows, np.int64).tolist()):
+            if w in got[r.host]:
+                own[i : i + 8] = [True] * 8
+        assert own == want[r.page_id]
+
+
+def test_html_without_landmarks(spark):
+    """Given pages with every landmark taken away: articles come back, what the host repeats goes."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(80)
+    full = {r.page_id: r for r in pages.collect()}
+    menu = "<div>" + " ".join(f"menu{i}" for i in range(20)) + "</div>"
+    foot = "<div>all rights reserved by the owner of this fine site since long ago</div>"
+    bare = [(i, "http://one.example/p", menu + re.sub(r"(?s)^.*<article>|</article>.*$", "", r.html) + foot) for i, r in full.items()]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    kept = total = 0
+    for i, r in full.items():
+        want, own = Counter(text_of(r.html).split()), Counter(got[i].split())
+        kept, total = kept + sum((want & own).values()), total + sum(want.values())
+        assert "menu3" not in own and "reserved" not in own
+    assert kept / total >= 0.97
+
+
+def test_html_near_copies_keep_their_text(spark):
+    """Four pages with one article, a word changed in each, under the host's menu."""
+    menu = "<p>home news sport weather travel money future help and more</p>"
+    words = [f"w{i}" for i in range(60)]
+    pages = [menu + "<p>" + " ".join(words[:k] + ["other"] + words[k + 1 :]) + "</p>" for k in (5, 20, 35, 50)] + [menu + f"<p>{' '.join(f'x{j}y{i}' for i in range(30))}</p>" for j in range(30)]
+    frame = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(frame).collect()}
+    assert [got[i].count("w") for i in range(4)] == [59] * 4 and not any("weather" in t for t in got.values())
+
+
 def test_pipeline_keeps_one_row_of_a_component(spark):
     import corpus_pipeline as pipeline
 
