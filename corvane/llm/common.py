@@ -111,12 +111,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * _STEP)
 
 
-def gram_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the size symbols from each place on; the same wherever they stand."""
+def gram_hashes(prefix: np.ndarray, size: int, first: int = 0) -> np.ndarray:
+    """Hash of the size symbols from each place on, the same wherever they stand, of a part of a prefix hash that begins at symbol `first`."""
     n = max(len(prefix) - size, 0)
-    _, down = _powers(len(prefix))
-    out = prefix[size:] - prefix[:n]
-    out *= down[:n]
+    _, down = _powers(first + len(prefix))
+    out = prefix[size : size + n] - prefix[:n]
+    out *= down[first : first + n]
     return mix64(out)
 
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 Span = tuple[str, int, int]
 
 
-def base_spans(text: str, kinds: list[tuple[str, str, re.Pattern, Callable[[re.Match], bool]]]) -> list[Span]:
-    """Leftmost non-overlapping matches of each kind (name, characters of which a match holds one, pattern, test).
+def base_spans(text: str, kinds: list[tuple[str, str, Callable[[str], Iterable[re.Match]], Callable[[re.Match], bool]]]) -> list[Span]:
+    """Leftmost non-overlapping matches of each kind (name, characters of which a match holds one, finder, test).
 
     A match that fails its test is dropped, without another try.
     """
-    return [(kind, m.start(), m.end()) for kind, needs, pattern, good in kinds if any(c in text for c in needs) for m in pattern.finditer(text) if good(m)]
+    return [(kind, m.start(), m.end()) for kind, needs, find, good in kinds if any(c in text for c in needs) for m in find(text) if good(m)]
 
 
 def in_order(spans: list[Span], kinds: list[str]) -> list[Span]:
@@ -31,6 +32,11 @@ def digest(text: str) -> str:
 
 def free_of(spans: list[Span], taken: list[Span]) -> Iterator[Span]:
     """The spans that overlap none of the taken ones."""
+    ends, reach = [], []  # of the taken ones by start: the furthest end up to each
+    for _, a, b in sorted(taken, key=lambda s: s[1]):
+        ends.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
     for s in spans:
-        if not any(s[1] < t[2] and t[1] < s[2] for t in taken):
+        before = bisect_left(ends, s[2])
+        if not before or reach[before - 1] <= s[1]:
             yield s

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -382,6 +383,87 @@ def test_chat_round_trip():
         assert chat_format.read_back(chat_format.Machine(template).feed(role, text), template) == (role, text)
 
 
+def spans_of(text, needles):
+    return {(text.index(n), text.index(n) + len(n)) for n in needles}
+
+
+def quality(cases, found):
+    """Precision and recall of added spans over (text, wanted strings)."""
+    hit = wanted = given = 0
+    for i, (text, needles) in enumerate(cases):
+        want, got = spans_of(text, needles), found[i]
+        hit, wanted, given = hit + len(want & got), wanted + len(want), given + len(got)
+    return hit / max(given, 1), hit / wanted
+
+
+def added(rows, kinds):
+    out = {}
+    for r in rows:
+        cut = [s.split(":") for s in r.spans.split(",") if s]
+        out[r.doc_id] = {(int(a), int(b)) for k, a, b in cut if k in kinds}
+    return out
+
+
+def test_secrets_planted(spark):
+    """Random strings and identifiers that no model was trained on, among the corpus's own texts."""
+    rng = random.Random(23)
+    words = "request response server client handler factory builder config network profile manager customer account repository interface".split()
+    rest = ["ast", "calendar", "codecs", "ftplib", "imaplib", "ipaddress", "mailbox", "multiprocessing", "optparse", "platform", "smtplib", "socketserver", "turtle", "unittest"]
+    ordinary = [x for x in secrets.standard_names(rest) + secrets.built_forms(words, 1500, 77) if len(x) >= 20]
+    ordinary += ["550e8400-e29b-41d4-a716-446655440000", "getHttpResponseCodeFromServer2", "usr/local/lib/python3/site-packages/numpy", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567890123456789012345"]
+    cases = [(f"use {x} here", []) for x in rng.sample(ordinary, 700) + ordinary[-5:]] + [(f"put {x} there", [x]) for x in secrets.drawn_strings(400, 99) if not re.search("[0-9a-f]{32}", x)]
+    corpus = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = added(secrets.find_secrets(docs_of(spark, [t for t, _ in cases] + corpus)).collect(), {"random"})
+    precision, recall = quality(cases, got)
+    assert precision >= 0.97 and recall >= 0.95, (precision, recall)
+    assert secrets.find_secrets(docs_of(spark, [])).collect() == []
+
+
+def test_pii_planted(spark):
+    """Personal data and look-alikes in sentences that the seed corpus doesn't hold, among the corpus's own texts."""
+    rng = random.Random(29)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: rng.choice(["Katrin", "Tobin", "Delia", "Marlo", "Ines", "Pavel"]) + " " + rng.choice(["Vesper", "Hallmark", "Orwin", "Quint", "Baskar"])
+
+    def account():
+        body = number(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    cases = []
+    for _ in range(40):
+        a, b, c, d, e, f, g = f"(0{number(2)}) {number(3)}-{number(4)}", f"0{number(3)} {number(3)} {number(4)}", f"{number(3)}-{number(2)}-{number(4)}", account(), name(), "@" + rng.choice(["nora_lenz", "kim99", "old_tom"]), number(10)
+        cases += [
+            (f"Ring our office, phone {a}, before noon.", [a]), (f"You reach me on {b} tonight.", [b]), (f"Employee SSN: {c} was leaked.", [c]), (f"Wire it to IBAN {d} now.", [d]), (f"Dear {e}, the tables are laid.", [e]),
+            (f"We met Mrs. {e} there.", [e]), (f"Regards, {e}", [e]), (f"You can follow {f} there.", [f]), (f"customer account {g} was closed", [g]),
+            (f"They met on 20{number(2)}-05-1{number(1)} and left on 1{number(1)}.05.2021 at last.", []), (f"It sold 1 {number(3)} {number(3)} copies for $ 1{number(1)}.{number(3)} in 2019.", []), (f"Release 1{number(1)}.{number(2)}.{number(3)} of the tool.", []),
+            (f"See pages 1{number(2)}-2{number(2)} of it.", []), ("The High Window was in the Old Station.", []), ("@property\ndef size(self): pass", []), (f"population of 8{number(7)} people", []), (f"the season of 2021/2022 scored {number(7)} points", []),
+        ]
+    corpus = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = pii.find_pii(docs_of(spark, [t for t, _ in cases] + corpus)).collect()
+    got = added(rows, set(pii.KINDS[4:]))
+    precision, recall = quality(cases, got)
+    assert precision >= 0.9 and recall >= 0.9, (precision, recall)
+    assert sum(map(len, got.values())) > 300 and sum(len(got[i]) for i in range(len(cases), len(cases) + len(corpus))) <= 5
+    assert pii.find_pii(docs_of(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("text", ["9" * 10**6, "." + "9" * 10**6, "@" + "a" * 10**6, "a" * 10**6, "a@" * 300_000, "+1" + " " * 500_000, "1.2." * 200_000, "Ab " * 200_000, "token " + " " * 500_000, "AKIA" * 200_000, "f" * 31 + "g"])
+def test_scans_are_linear(text):
+    began = time.process_time()
+    pii.candidates(text)
+    secrets.base_spans(text, secrets.BASE)
+    list(secrets.TOKEN.finditer(text))
+    assert time.process_time() - began < 3
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice(["1", "9", "25", ".", "-", " ", "+", "(", ")", "@", "a", "Z", "_", "é", "4111111111111111", "1.2.3.4"]) for _ in range(rng.randint(0, 30)))
+        got = sorted((a, k, b) for k, a, b in pii.base_spans(text, pii.BASE))
+        assert got == base_by_hand(text, PII_PATTERNS), text
+
+
 def base_by_hand(text, patterns):
     return sorted(((m.start(), k, m.end()) for k, p, good in patterns for m in re.finditer(p, text) if good(m)))
 
@@ -411,6 +493,17 @@ def test_secrets(spark):
     assert secrets.scan("otherwise some_identifier_with_several_parts and AnotherOrdinaryIdentifierName", model) == ([], [])
 
 
+def digits(m):
+    return re.sub("[^0-9]", "", m[0])
+
+
+PII_PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(len(p) < 99 and int(p) <= 255 for p in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+]
+
 PII_TEXTS = [
     None, "", "mail und.34@mail7.example.com now", "at 97.51.17.173 or 300.1.1.1 or 1.2.3.4.5", "card 4111 1111 1111 1111 and 4491382641088554", "+1 (017) 555-7713 call +12",
     "a@b.c@d.e.f", "call 555 123 4567 or phone 212-555-0199", "9" * 5000 + ".1.1.1", "é x@y.zz",
@@ -420,13 +513,7 @@ PII_TEXTS = [
 def test_pii(spark):
     docs = docs_of(spark, PII_TEXTS)
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
-    digits = lambda m: re.sub("[^0-9]", "", m[0])
-    patterns = [
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(len(p) < 9 and int(p) <= 255 for p in m[0].split("."))),
-        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))),
-        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
-    ]
+    patterns = PII_PATTERNS
     for i, text in enumerate(PII_TEXTS):
         spans = sorted(base_by_hand(text or "", patterns), key=lambda s: (s[0], pii.KINDS.index(s[1])))
         joined = ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
