@@ -1,4 +1,4 @@
-"""Shared pieces: shared-folder tables, packed shuffles, text hashing, components.
+"""Shared pieces: packed shuffles, text hashing, components; tables in the shared folder come from corvane.sources.store.
 
 Packed shuffles.  Operators that move one small number per word would pay far
 more for Spark's per-row overhead than for the numbers.  They pack the numbers
@@ -9,39 +9,23 @@ their number follows the input size, so one bucket's arrays stay small.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources.store import BROADCAST_BYTES, discard, materialise, shared_dir, sized_broadcast  # noqa: F401
+
 BUCKETS_PER_PARTITION = 8
 BYTES_PER_BUCKET = 2 << 20
-BROADCAST_BYTES = 64 << 20
 UNKNOWN_BYTES = 1 << 60  # Catalyst's default for a plan without statistics is near 2**63
+LONG_WORD = 64
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plan_bytes(df: DataFrame, text: str = "text") -> int:
     """Catalyst's size estimate of a plan (the file sizes, for a scan); the bytes of its text column where there is none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -56,11 +40,6 @@ def bucket_count(df: DataFrame, text: str = "text") -> int:
     return max(BUCKETS_PER_PARTITION * parts, min(plan_bytes(df, text) // BYTES_PER_BUCKET, 1 << 22))
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int = 16) -> DataFrame:
-    """df with a broadcast hint if its counted rows take at most BROADCAST_BYTES; beyond that joins shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 # ---------------------------------------------------------------- hashing
 
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -152,8 +131,13 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word with A-Z lower-cased."""
-    return span_hash(prefix_hash(_BYTE[LOWER[raw]]), starts, ends)
+    """64-bit hash of each word with A-Z lower-cased.  A polynomial modulo 2**64 has colliding words of a thousand letters and more
+    (Thue-Morse), so words beyond LONG_WORD bytes are hashed otherwise."""
+    low = LOWER[raw]
+    out = span_hash(prefix_hash(_BYTE[low]), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(low[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
@@ -270,7 +254,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").selectExpr("greatest(b, m) AS a", "least(b, m) AS b")
-        now = materialise(small.unionByName(least.selectExpr("a", "m AS b")).distinct(), "edges")
+        last, now = now, materialise(small.unionByName(least.selectExpr("a", "m AS b")).distinct(), "edges")
+        discard(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

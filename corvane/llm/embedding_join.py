@@ -8,19 +8,23 @@ distance are within the budget of one subspace at least.  Each subspace is
 range-joined: a grid over its first GRID coordinates, cells as wide as the
 budget's diameter, an index entry in a vector's own cell and probes in that cell and
 the later ones that its ball touches, so two cells meet from one side.  Within a cell
-both sides are sorted by the next coordinate, and probes scan the stretch in reach.  The union of the candidates is verified by the cosine of
-the given vectors in double precision; a pair counts in the first subspace whose
-budget it meets, so it counts once.
+both sides are sorted by the next coordinate, and probes scan the stretch in reach.
+The union of the candidates is verified by the cosine of the given vectors in double
+precision; a pair counts in the first subspace whose budget it meets, so it counts
+once.
 
+Vectors of each length are joined among themselves.  A vector is divided by its
+largest component before it is squared, so no finite size overflows or vanishes.
 Equal vectors are one vector with a multiplicity.  A cell is split into pairs of
 parts of at most PART vectors, so no task holds an unbounded cell; the plan of
 parts depends on cell sizes, and there are at most as many cells as the grid has.
-Tasks report each vector's number of partners and its component among the links that they see.
+Tasks report each vector's number of partners and its component among the links that
+they see.
 
-Edge cases: null and zero vectors and those with a null or non-finite component link
-with nothing, as do vectors of another length than the first row's; equal vectors
-link with each other; a repeated row counts as another vector; an id stands for one
-vector; other columns are ignored.
+Edge cases: null, empty and zero vectors and those with a null or non-finite component
+link with nothing; equal vectors link with each other; each row is a vector of its own,
+whatever ids it shares; a null id counts as a partner but names no component; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import connected_components, materialise
+from corvane.llm.common import connected_components, materialise, sized_broadcast
 
 BLOCKS = 4
-GRID = 2
+GRID = 3
 PART = 4096
 SEED = 11
 SLACK = 1e-5  # of squared distances in single precision; candidates are verified in double
@@ -53,47 +57,49 @@ def block_slices(dim: int, blocks: int = BLOCKS) -> list[slice]:
 
 def _unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """vec_id and vector (of its own precision) of the vectors that can link, and their length."""
+def _rows(vectors: DataFrame) -> DataFrame:
+    """row, vec_id and v: the vector (of its own precision) if it can link, else null."""
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(F.col("v").isNotNull() & (F.size("v") > 0)).where(fine)
-    size = rows.select(F.size("v").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = size[0]["n"] if size else 0
-    return rows.where(F.size("v") == dim), dim
+    return rows.withColumn("v", F.when(F.col("v").isNotNull() & fine, F.col("v")))
 
 
-def _cells(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """(block, cell, probe, home, rep, size, v) for the own cell and the probed cells of every class in every block."""
-    turn, cuts, spread = rotation(dim), block_slices(dim), 2 * (1 - cosine)
+def _cells(classes: DataFrame, cosine: float) -> DataFrame:
+    """(dim, block, cell, probe, home, rep, size, v) for the own cell and the probed cells of every class in every block."""
+    spread = 2 * (1 - cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rotated = _unit(np.array(batch.column("v").to_pylist(), np.float64)) @ turn
-            for b, cut in enumerate(cuts):
-                own = rotated[:, cut][:, :GRID]
-                reach = np.sqrt(spread * (cut.stop - cut.start) / dim) + SLACK
-                low, high = np.floor((own - reach) / (2 * reach)).astype(np.int64), np.floor((own + reach) / (2 * reach)).astype(np.int64)
-                home = np.floor(own / (2 * reach)).astype(np.int64)
-                code = lambda g: ((g + 4096) * (8192 ** np.arange(g.shape[1]))).sum(axis=1)
-                at = code(home)
-                jobs = [(at, np.ones(len(own), bool), False)]
-                for corner in range(1 << own.shape[1]):
-                    take = np.array([corner >> i & 1 for i in range(own.shape[1])], bool)
-                    cell = code(np.where(take, high, low))
-                    jobs.append((cell, ~((high == low) & take).any(axis=1) & (cell >= at), True))
-                for cell, live, probe in jobs:
-                    rows = np.flatnonzero(live)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(cell[rows]), pa.array(np.full(len(rows), probe)), pa.array((cell == at)[rows]), batch.column("rep").take(pa.array(rows)), batch.column("size").take(pa.array(rows)), batch.column("v").take(pa.array(rows))], names=["block", "cell", "probe", "home", "rep", "size", "v"])
+        for whole in batches:
+            dims = pa.compute.list_value_length(whole.column("v")).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                batch = whole.filter(pa.array(dims == dim))
+                cuts = block_slices(dim)
+                rotated = _unit(np.array(batch.column("v").to_pylist(), np.float64)) @ rotation(dim)
+                for b, cut in enumerate(cuts):
+                    own = rotated[:, cut][:, :GRID]
+                    reach = np.sqrt(spread * (cut.stop - cut.start) / dim) + SLACK
+                    low, high = np.floor((own - reach) / (2 * reach)).astype(np.int64), np.floor((own + reach) / (2 * reach)).astype(np.int64)
+                    home = np.floor(own / (2 * reach)).astype(np.int64)
+                    code = lambda g: ((g + 4096) * (8192 ** np.arange(g.shape[1]))).sum(axis=1)
+                    at = code(home)
+                    jobs = [(at, np.ones(len(own), bool), False)]
+                    for corner in range(1 << own.shape[1]):
+                        take = np.array([corner >> i & 1 for i in range(own.shape[1])], bool)
+                        cell = code(np.where(take, high, low))
+                        jobs.append((cell, ~((high == low) & take).any(axis=1) & (cell >= at), True))
+                    for cell, live, probe in jobs:
+                        rows = np.flatnonzero(live)
+                        take = pa.array(rows)
+                        fixed = [pa.array(np.full(len(rows), x)) for x in (np.int32(dim), np.int32(b))]
+                        yield pa.RecordBatch.from_arrays([*fixed, pa.array(cell[rows]), pa.array(np.full(len(rows), probe)), pa.array((cell == at)[rows]), batch.column("rep").take(take), batch.column("size").take(take), batch.column("v").take(take)], names=["dim", "block", "cell", "probe", "home", "rep", "size", "v"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    return classes.select("rep", "size", "v").mapInArrow(run, f"block int, cell long, probe boolean, home boolean, rep long, size long, v {kind}")
+    return classes.select("rep", "size", "v").mapInArrow(run, f"dim int, block int, cell long, probe boolean, home boolean, rep long, size long, v {kind}")
 
 
 def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -109,11 +115,12 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def _counted(dim: int, cosine: float):
+def _counted(cosine: float):
     """Per part of a cell: (rep, partner rows, smallest rep of its component there) of every vector with a link."""
-    turn, cuts, spread = rotation(dim), block_slices(dim), 2 * (1 - cosine)
 
     def run(table: pa.Table) -> pa.Table:
+        dim = table["dim"][0].as_py()
+        turn, cuts, spread = rotation(dim), block_slices(dim), 2 * (1 - cosine)
         block, probe = table["block"][0].as_py(), table["probe"].combine_chunks().to_numpy(zero_copy_only=False)
         home = table["home"].combine_chunks().to_numpy(zero_copy_only=False)
         rep, first, own = np.unique(table["rep"].to_numpy(), return_index=True, return_inverse=True)  # own: a row's number, in the order of rep
@@ -156,27 +163,25 @@ def _counted(dim: int, cosine: float):
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, part: int = PART) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
-    usable, dim = _usable(vectors)
-    digest = F.xxhash64("v")
-    members = materialise(usable.select("vec_id", "v", digest.alias("digest")), "vectors")
-    classes = members.groupBy("digest", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    classes = materialise(classes.select("digest", "rep", "size", "v"), "vector-classes")
-    if dim:
-        cells = _cells(classes, dim, cosine)
-        counts = cells.groupBy("block", "cell", "probe").count()
-        shape = counts.groupBy("block", "cell").agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("probe") == p, F.col("count"))), F.lit(0)) / size).cast("int").alias(n) for p, n, size in ((False, "n_index", part), (True, "n_probe", 4 * part))])
-        live = F.broadcast(materialise(shape.where("n_index > 0 AND n_probe > 0"), "vector-cells"))  # one row per cell of the grid at most
-        own, other = F.expr("pmod(xxhash64(rep), if(probe, n_probe, n_index))"), F.expr("explode(sequence(0, if(probe, n_index, n_probe) - 1)) AS other")
-        sized = cells.join(live, ["block", "cell"]).select("*", own.alias("own"), other)
-        key = F.expr("xxhash64(block, cell, if(probe, other, own), if(probe, own, other))")
-        run, schema = _counted(dim, cosine)
-        found = materialise(sized.select(key.alias("grp"), "block", "probe", "home", "rep", "size", "v").groupBy("grp").applyInArrow(run, schema), "vector-links")
-        partners = found.groupBy("rep").agg(F.sum("partners").alias("partners"))
-        roots = connected_components(found.selectExpr("rep AS a", "other AS b")).withColumnsRenamed({"node": "rep", "root": "component_id"})
-        known = classes.join(partners, "rep", "left").join(roots, "rep", "left").selectExpr("digest", "rep", "size - 1 + coalesce(partners, 0) AS n_links", "coalesce(component_id, rep) AS component_id")
-        named = members.join(classes.select("digest", "rep", F.col("v").alias("cv")), "digest").where("v = cv").select("vec_id", "rep").join(known, "rep").selectExpr("vec_id AS _id", "n_links", "component_id").distinct()
-    else:
-        named = members.selectExpr("vec_id AS _id", "cast(0 AS bigint) AS n_links", "vec_id AS component_id")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    out = rows.join(named, rows["vec_id"] == named["_id"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
+    rows = materialise(_rows(vectors).withColumn("digest", F.xxhash64("v")), "vectors")
+    classes = rows.where("v IS NOT NULL").groupBy("digest", "v").agg(F.min("row").alias("rep"), F.count("*").alias("size"), F.min("vec_id").alias("least"))
+    classes = materialise(classes, "vector-classes")
+    cells = _cells(classes, cosine)
+    where = ["dim", "block", "cell"]
+    counts = cells.groupBy(*where, "probe").count()
+    shape = counts.groupBy(*where).agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("probe") == p, F.col("count"))), F.lit(0)) / size).cast("int").alias(n) for p, n, size in ((False, "n_index", part), (True, "n_probe", 4 * part))])
+    live = sized_broadcast(materialise(shape.where("n_index > 0 AND n_probe > 0"), "vector-cells"), 64)
+    own, other = F.expr("pmod(xxhash64(rep), if(probe, n_probe, n_index))"), F.expr("explode(sequence(0, if(probe, n_index, n_probe) - 1)) AS other")
+    sized = cells.join(live, where).select("*", own.alias("own"), other)
+    key = F.expr("xxhash64(dim, block, cell, if(probe, other, own), if(probe, own, other))")
+    run, schema = _counted(cosine)
+    found = materialise(sized.select(key.alias("grp"), "dim", "block", "probe", "home", "rep", "size", "v").groupBy("grp").applyInArrow(run, schema), "vector-links")
+    partners = found.groupBy("rep").agg(F.sum("partners").alias("partners"))
+    roots = connected_components(found.selectExpr("rep AS a", "other AS b")).withColumnsRenamed({"node": "rep"})
+    known = classes.select("digest", "rep", F.col("v").alias("cv"), "size", "least").join(partners, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = materialise(known.selectExpr("digest", "cv", "root", "least", "size - 1 + coalesce(partners, 0) AS n_links"), "vector-known")
+    names = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = known.join(names, "root").select(F.col("digest").alias("_digest"), "cv", "n_links", "component_id")
+    out = rows.join(known, (rows["digest"] == known["_digest"]) & (rows["v"] == known["cv"]), "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

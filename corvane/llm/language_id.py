@@ -28,6 +28,7 @@ from corvane.llm.common import U64, batches_of, mix64
 
 SAMPLE_ROWS = 20_000  # bound of the training sample over all languages
 BITS = 16
+PIECE = 1 << 20
 SMOOTHING = 0.05
 PENALTY = 8.0
 ROUNDS = 25
@@ -41,21 +42,33 @@ def _fold(code: int) -> int:
 _tables: dict[str, np.ndarray] = {}
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Bucket of the letter trigram that ends at each letter, with a blank for what stands before a word; empty without a letter."""
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the letter trigrams and their counts: the one that ends at each letter, with a blank for what stands before a word.
+
+    A text is read in pieces of PIECE characters, so a long one needs no more memory than a piece.
+    """
     if "fold" not in _tables:
         _tables["fold"] = np.array([_fold(c) for c in range(0x10000)], np.uint32)
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = _tables["fold"][np.minimum(raw, 0xFFFF)]
-    for i in np.flatnonzero(raw > 0xFFFF).tolist():
-        code[i] = _fold(int(raw[i]))
-    letter = code > 0
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    padded = np.concatenate([np.zeros(2, np.uint32), code]).astype(U64)
-    one, two, three = padded[:-2], padded[1:-1], padded[2:]
-    one = np.where(two == 0, U64(0), one)
-    return (mix64(((one * U64(0x110000) + two) * U64(0x110000) + three)[letter]) >> U64(64 - BITS)).astype(np.int64)
+    total = np.zeros(1 << BITS, np.int64) if len(text) > PIECE else None
+    for first in range(0, len(text), PIECE):
+        before = min(first, 2)  # characters that only stand before others
+        raw = np.frombuffer(text[first - before : first + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = _tables["fold"][np.minimum(raw, 0xFFFF)]
+        for i in np.flatnonzero(raw > 0xFFFF).tolist():
+            code[i] = _fold(int(raw[i]))
+        letter = code > 0
+        letter[:before] = False
+        padded = np.concatenate([np.zeros(2, np.uint32), code]).astype(U64)
+        one, two, three = padded[:-2], padded[1:-1], padded[2:]
+        one = np.where(two == 0, U64(0), one)
+        grams = (mix64(((one * U64(0x110000) + two) * U64(0x110000) + three)[letter]) >> U64(64 - BITS)).astype(np.int64)
+        if total is None:
+            return np.unique(grams, return_counts=True)
+        total += np.bincount(grams, minlength=1 << BITS)
+    if total is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bucket = np.flatnonzero(total)
+    return bucket, total[bucket]
 
 
 @dataclass
@@ -65,10 +78,10 @@ class Model:
 
     def mixture(self, text: str | None) -> tuple[list[tuple[str, float]], int]:
         """The selected languages with their proportions, largest first, and the number of letters."""
-        grams = trigrams(text) if text else np.zeros(0, np.int64)
-        if not len(grams) or not self.languages:
-            return [], len(grams)
-        bucket, count = np.unique(grams, return_counts=True)
+        bucket, count = trigrams(text or "")
+        letters = int(count.sum())
+        if not letters or not self.languages:
+            return [], letters
         logs = self.log_likelihood[bucket]
         top = logs.max(axis=1, keepdims=True)
         like = np.exp(logs - top)
@@ -96,7 +109,7 @@ class Model:
                 break
             best, score = (order[:k], p), value
         chosen, p = best
-        return sorted(((self.languages[c], float(x)) for c, x in zip(chosen, p, strict=True)), key=lambda x: (-x[1], x[0])), len(grams)
+        return sorted(((self.languages[c], float(x)) for c, x in zip(chosen, p, strict=True)), key=lambda x: (-x[1], x[0])), letters
 
 
 def sample_of(rows: DataFrame, most_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -123,8 +136,8 @@ def train(rows: DataFrame, most_rows: int = SAMPLE_ROWS) -> Model:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                add = np.bincount(trigrams(text), minlength=1 << BITS)
-                total[lang] = total[lang] + add if lang in total else add
+                bucket, n = trigrams(text)
+                total.setdefault(lang, np.zeros(1 << BITS, np.int64))[bucket] += n
         rows = [(lang, int(b), int(c[b])) for lang, c in total.items() for b in np.flatnonzero(c)]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
 

@@ -1,7 +1,9 @@
 """N-gram Jaccard join: prefix trees over globally ordered shingle sets.
 
 Two texts link when 100 * |A and B| >= 75 * |A or B| over their distinct 5-word
-shingles.  Exact: no sketch decides anything, nothing is sampled or capped.
+shingles.  No sketch decides anything, nothing is sampled or capped.  Shingles and
+sets go by 64-bit hashes that are not compared as text: n different sets hold about
+n * n / 2**65 false pairs of equal names.
 
 Plan
 1. Each map task hashes its texts to shingle sets and deals (shingle, set) to
@@ -53,7 +55,7 @@ from corvane.llm.common import (
 BLOCK = 512
 HELD = 1 << 21  # shingles a map task holds before it deals them
 BUCKET_BYTES = 8 << 20  # input per bucket: wide buckets hold several shingles of a text, which then share its name
-LEAST_BUCKETS = 64
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 22
 _POSTING, _SIDE = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 
@@ -178,12 +180,19 @@ class Trie:
     def __init__(self, members: list[int], lists: dict[int, np.ndarray], weights: dict[int, np.ndarray], sizes: list[int]):
         self.members, self.lists = members, [lists[m] for m in members]
         self.size = np.array([sizes[m] for m in members], np.int64)
-        width = 1 + max((int(x[-1]) for x in self.lists if len(x)), default=0)
-        self.has = np.zeros((len(members), width + 1), np.int32)  # weight of an element in a list, 0 without it
-        for i, m in enumerate(members):
-            self.has[i, lists[m]] = weights[m]
+        # holders of each element and its weight, element by element
+        flat, owner = np.concatenate(self.lists), np.repeat(np.arange(len(members)), [len(x) for x in self.lists])
+        order = np.argsort(flat, kind="stable")
+        self.holder, self.weight = owner[order], np.concatenate([weights[m] for m in members])[order]
+        self.at = np.searchsorted(flat[order], np.arange(int(flat.max(initial=-1)) + 2))
         self.left = [np.append(np.cumsum(weights[m][::-1])[::-1], 0) for m in members]  # weight of a list from a depth on
 
+    def held(self, elements: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """What these elements weigh together in each of these lists."""
+        first, n = self.at[elements], self.at[elements + 1] - self.at[elements]
+        place = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        return np.bincount(self.holder[place], self.weight[place], len(self.members)).astype(np.int64)[who]
+
     def links(self, percent: int, sets: UnionFind) -> Iterator[tuple[int, int]]:
         """Pairs of members that link and weren't in one component of sets, which is kept up."""
         root = np.array([sets.find(m) for m in self.members])
@@ -193,7 +202,7 @@ class Trie:
             lo, hi, depth, who, overlap = stack.pop()
             if hi - lo == 1:  # a single list is left: the rest of its path at once
                 rest = self.lists[lo][depth:]
-                yield from self._meet(lo, who, overlap + self.has[np.ix_(who, rest)].sum(axis=1), percent, sets, root)
+                yield from self._meet(lo, who, overlap + self.held(rest, who), percent, sets, root)
                 continue
             while lo < hi and len(self.lists[lo]) == depth:
                 yield from self._meet(lo, who, overlap, percent, sets, root)
@@ -202,7 +211,7 @@ class Trie:
                 e, end = self.lists[lo][depth], lo + 1
                 while end < hi and self.lists[end][depth] == e:
                     end += 1
-                got = overlap + self.has[who, e]
+                got = overlap + self.held(np.array([e]), who)
                 rest = max(int(self.left[i][depth + 1]) for i in range(lo, end))
                 able = (who > lo) & ((100 + percent) * (got + np.minimum(total[who] - got, rest)) >= percent * (self.size[who] + self.size[lo:end].min()))
                 if end - lo == 1:
@@ -276,7 +285,7 @@ def _block_links(percent: int):
 
 def set_links(docs: DataFrame, percent: int = 75, words: int = 5, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between digests of distinct shingle sets; they span each component."""
-    buckets = max(LEAST_BUCKETS, plan_bytes(docs) // BUCKET_BYTES)
+    buckets = max(LEAST_BUCKETS, min(plan_bytes(docs) // BUCKET_BYTES, MOST_BUCKETS))
     wide = bucket_count(docs)
     out = _dealt_shingles(docs, words, buckets)
     for run, schema in (_elements(buckets), _prefixes(percent)):

@@ -35,7 +35,7 @@ from corvane.llm.common import batches_of, materialise
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-token pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 1 << 19
+CACHE_WORDS, CACHED_LENGTH = 1 << 18, 64  # pieces remembered, and the longest of them: 30 MB or so
 _MEETING = re.compile(r" \s|\s ")
 
 
@@ -63,7 +63,9 @@ class TokenCounter:
         for piece in rest:
             n = known.get(piece)
             if n is None:
-                n = known[piece] = len(encode(" " + piece))
+                n = len(encode(" " + piece))
+                if len(piece) <= CACHED_LENGTH:
+                    known[piece] = n
             total += n
         return total
 

@@ -555,6 +555,14 @@ def test_embedding_join(spark, part):
     assert embedding_join.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_embedding_join_of_all_sizes_and_lengths(spark):
+    """Components up to 1e200 and down to 1e-200, vectors of other lengths, shared and null ids."""
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0]), (5, [1.0, 2.0, 3.0]), (6, [2.0, 4.0, 6.0]), (7, [5.0]), (8, [9.0]), (9, [-5.0]), (10, [0.0, 3.0, 0.0, 0.0, 1.0]), (10, [1.0, 0.0, 0.0, 7.0, 0.0]), (None, [1.0, 2.0, 3.01])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id if r.vec_id is not None else 99, r.n_links, r.component_id, r.kept) for r in embedding_join.near_duplicates(frame).collect())
+    assert got == [(0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (3, 3, 0, False), (4, 0, 4, True), (5, 2, 5, True), (6, 2, 5, False), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True), (10, 0, 10, True), (10, 0, 10, True), (99, 2, 5, False)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p><article>x</article>";</script></head><body>
 <nav><a>Home</a></nav><div class="ad">Buy</div><header>Top</header><article><h1>Head &amp; more</h1><p><b>Bold text<br><p>Second   para&nbsp;graph</p>
 <form>mail</form><aside>side</aside><section class="comments"><p>first!</p></section><p>1 < 2 &lt;b&gt;</p></article><footer>&copy; x</footer><!-- <p>no</p> -->"""
