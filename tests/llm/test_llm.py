@@ -312,6 +312,56 @@ def test_language_id(spark):
     assert sorted(r.doc_id for r in language_id.keep_identified(docs).collect()) == sorted(truth)
 
 
+def test_language_mixture_equals_a_plain_one():
+    """EM and set selection against a slow version in plain Python: all rounds, every nested set, no vectors."""
+    rng = np.random.default_rng(3)
+    texts = ["aab abb baa bba", "xyy yxx yyx xxy", "mno onm nom omn"]
+    counts = np.full((1 << language_id.BITS, 3), language_id.SMOOTHING)
+    for i, t in enumerate(texts):
+        bucket, n = language_id.trigrams(t * 50)
+        counts[bucket, i] += n
+    model = language_id.Model(["a", "x", "m"], np.log(counts / counts.sum(axis=0)))
+
+    def plain(text):
+        bucket, n = language_id.trigrams(text)
+        like = [[float(np.exp(model.log_likelihood[b, i])) for i in range(3)] for b in bucket]
+
+        def em(chosen, rounds):
+            p = {c: 1 / len(chosen) for c in chosen}
+            for _ in range(rounds):
+                new = dict.fromkeys(chosen, 0.0)
+                for w, k in zip(like, n.tolist(), strict=True):
+                    total = sum(p[c] * w[c] for c in chosen)
+                    for c in chosen:
+                        new[c] += k * p[c] * w[c] / total
+                p = {c: v / n.sum() for c, v in new.items()}
+            return p, sum(k * np.log(sum(p[c] * w[c] for c in chosen)) for w, k in zip(like, n.tolist(), strict=True))
+
+        share, _ = em(range(3), 8)
+        order, best = sorted(range(3), key=lambda c: -share[c]), (None, -np.inf)
+        for k in range(1, 4):
+            p, ll = em(order[:k], language_id.ROUNDS)
+            value = ll - language_id.PENALTY * (k - 1) * np.log(n.sum() + 1)
+            if value <= best[1]:
+                break
+            best = (p, value)
+        return {"axm"[c]: v for c, v in best[0].items()}
+
+    for _ in range(12):
+        parts = rng.integers(0, 4, 3)
+        text = " ".join(t for t, k in zip(texts, parts * 30, strict=True) for _ in range(k)) or texts[0]
+        got, want = dict(model.mixture(text)[0]), plain(text)
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 0.01 for c in got), (got, want)
+
+
+def test_language_of_long_texts(monkeypatch):
+    """A text read in pieces counts as it does whole."""
+    text = "Ein langer Text über alles, was es gibt. " * 300
+    whole = [x.tolist() for x in language_id.trigrams(text)]
+    monkeypatch.setattr(language_id, "PIECE", 997)
+    assert [x.tolist() for x in language_id.trigrams(text)] == whole
+
+
 def test_language_id_without_training(spark):
     docs = docs_of(spark, ["some text", None]).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.predict_languages(docs).collect()} == {"und"}
@@ -730,3 +780,37 @@ def test_pipeline(spark):
             assert kept.columns == docs.columns and kept.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
     assert 0 < kept.count() <= docs.count()
     assert kept.select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_decides_as_by_hand(spark, tmp_path):
+    """One document for each way out, and clean ones that stay; extra columns with names that the operators use."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(41)
+    prose = lambda n: " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    base, item, clean = prose(120), prose(30), prose(80)
+    mixed = prose(40) + "\n" + prose(50)
+    texts = {
+        0: base, 1: base, 2: base + " " + prose(12), 3: prose(40) + " " + item + " " + prose(30), 4: "12 34 !?", 5: None, 6: clean, 7: prose(60) + "\n" + clean, 8: mixed, 9: clean[:200] + "x" + clean[201:], 10: "", 11: prose(3),
+    }
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or ""), i, "r") for i, x in texts.items()], "doc_id long, text string, lang string, source string, n_chars long, row long, digest string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = docs
+    want = [
+        {0, 1, 2, 3, 6, 7, 8, 9, 11},  # 4, 5 and 10 have no letters
+        {0, 2, 3, 6, 7, 8, 11},  # 1 repeats a line, 9 has one with an edit
+        {0, 3, 6, 7, 8, 11},  # 2 shares more than three quarters with 0
+        {0, 6, 7, 8, 11},  # 3 holds the benchmark's passage
+    ]
+    for (name, stage), ids in zip(pipeline.STAGES[:-1], want, strict=True):
+        kept = common.materialise(stage(spark, kept, str(tmp_path)), f"test-{name}")
+        assert {r.doc_id for r in kept.collect()} == ids and kept.columns == docs.columns, name
+    by = {r.doc_id: r for r in kept.collect()}
+    assert by[7].text == texts[7].split("\n")[0] and by[7].n_chars == len(by[7].text) and by[8].text == mixed and by[6].row == 6
+    packed = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+    count = packing.TokenCounter(open(packing.VOCABULARY, "rb").read())
+    assert {i: r.n_tokens for i, r in packed.items()} == {i: len(count.encode(by[i].text)) for i in want[-1]}
+    empty = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name
