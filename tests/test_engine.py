@@ -210,7 +210,10 @@ def test_rotation_is_right_at_any_size(spark):
     assert wrong.count() == 0
 
 
-def test_bounded_search_equals_scoring_all(spark):
+@pytest.mark.parametrize("rows", [1 << 21, 100])
+def test_block_search_equals_scoring_all(spark, monkeypatch, rows):
+    monkeypatch.setattr(retrieve, "ASKED_ROWS", rows)
+    monkeypatch.setattr(retrieve, "BLOCK_POSTINGS", 50 * rows)
     rng = random.Random(8)
     words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(60_000)]
     docs = spark.createDataFrame([(i, " ".join(words[i * 30 : i * 30 + rng.randint(1, 60)])) for i in range(1500)], "key long, text string")
