@@ -31,8 +31,9 @@ Plan
 5. Connected components of the links; the smallest doc_id names one.
 
 A group is split above BLOCK sets.  In the last round sets are dealt to parts of
-that size and every pair of parts meets in a group of its own, so no task holds
-an unbounded group.
+that size, and parts meet in groups of their own, so no task holds an unbounded
+group: the largest component of a key against the others, and the others among
+themselves.  m sets of one component and s others ship (2 m s + s s) / BLOCK lists.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing;
 texts under five words are one shingle; repeated rows give repeated results; a
@@ -314,11 +315,18 @@ def set_links(docs: DataFrame, percent: int = 75, words: int = 5, block: int = B
     links = linked(counted.select(spread.alias("grp"), "set", F.col("set").alias("label")))
     chosen = labelled(links).groupBy("key", "label").agg(F.min("set").alias("set"), F.max("n").alias("n"))
     links = links.unionByName(linked(chosen.select(spread.alias("grp"), "set", "label")))
-    parts = F.expr(f"greatest(1, cast(ceil(n / {block}) AS int))")
-    mixed = materialise(labelled(links).withColumn("parts", parts).withColumn("own", F.expr("pmod(xxhash64(set, 1), parts)")), "mixed-keys")
-    pairs = mixed.select("set", "label", "key", "own", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
-    pairs = pairs.select(F.expr("xxhash64(key, least(own, other), greatest(own, other))").alias("grp"), "set", "label")
-    return links.unionByName(linked(pairs))
+    # in a mixed key the sets of its largest component meet the other sets only, and those meet each other
+    mixed = materialise(labelled(links), "mixed-keys")
+    per_label = mixed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sides = per_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).selectExpr(
+        "key", "top.label AS big", f"cast(ceil(top.n / {block}) AS int) AS big_parts", f"cast(ceil((n - top.n) / {block}) AS int) AS small_parts"
+    )
+    rows = mixed.join(sides, "key").withColumn("is_big", F.col("label") == F.col("big")).withColumn("own", F.expr("pmod(xxhash64(set, 1), if(is_big, big_parts, small_parts))"))
+    across = rows.select("*", F.explode(F.expr("sequence(0, if(is_big, small_parts, big_parts) - 1)")).alias("other"))
+    across = across.select(F.expr("xxhash64(key, 'across', if(is_big, own, other), if(is_big, other, own))").alias("grp"), "set", "label")
+    among = rows.where("NOT is_big").select("*", F.explode(F.expr("sequence(0, small_parts - 1)")).alias("other"))
+    among = among.select(F.expr("xxhash64(key, 'among', least(own, other), greatest(own, other))").alias("grp"), "set", "label")
+    return links.unionByName(linked(across.unionByName(among)))
 
 
 def ngram_components(docs: DataFrame, percent: int = 75, words: int = 5, block: int = BLOCK) -> DataFrame:
