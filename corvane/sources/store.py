@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,14 @@ def sized_broadcast(df: DataFrame, row_bytes: int = 16) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads, and let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Spark's cleaner follows the driver's garbage collection, which a quiet driver puts off while the executors' disks fill.
+    """
+    for df in tables:
+        discard(df)
+    gc.collect()
+    spark._jvm.System.gc()
