@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.sources.store import BROADCAST_BYTES, discard, materialise, shared_dir, sized_broadcast  # noqa: F401
+from corvane.sources.store import BROADCAST_BYTES, discard, materialise, release, shared_dir, sized_broadcast  # noqa: F401
 
 BUCKETS_PER_PARTITION = 8
 BYTES_PER_BUCKET = 2 << 20

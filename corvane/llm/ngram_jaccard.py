@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import (
-    U64, UnionFind, batches_of, bucket_count, connected_components, deal, joined, materialise, mix64, pack, plan_bytes, runs, shingle_sets,
+    U64, UnionFind, batches_of, bucket_count, connected_components, deal, joined, materialise, mix64, pack, plan_bytes, release, runs, shingle_sets,
 )
 
 BLOCK = 512
@@ -292,12 +292,17 @@ def set_links(docs: DataFrame, percent: int = 75, words: int = 5, block: int = B
     for run, schema in (_elements(buckets), _prefixes(percent)):
         out = out.groupBy("bucket").applyInArrow(run, schema)
     sets = materialise(out, "prefix-sets")
+    del out
+    release(docs.sparkSession)
     run, schema = _block_links(percent)
 
     def linked(members: DataFrame) -> DataFrame:
         """members: grp, set, label."""
         rows = members.join(sets.drop("keys"), "set").select(F.expr(f"pmod(grp, {wide})").alias("bucket"), "grp", "set", "size", "label", "elements", "weights")
-        return materialise(rows.groupBy("bucket").applyInArrow(run, schema), "set-links")
+        found = materialise(rows.groupBy("bucket").applyInArrow(run, schema), "set-links")
+        del rows
+        release(docs.sparkSession)
+        return found
 
     def labelled(links: DataFrame) -> DataFrame:
         """(key, set, label) under every key whose sets aren't one component yet."""
@@ -326,7 +331,9 @@ def set_links(docs: DataFrame, percent: int = 75, words: int = 5, block: int = B
     across = across.select(F.expr("xxhash64(key, 'across', if(is_big, own, other), if(is_big, other, own))").alias("grp"), "set", "label")
     among = rows.where("NOT is_big").select("*", F.explode(F.expr("sequence(0, small_parts - 1)")).alias("other"))
     among = among.select(F.expr("xxhash64(key, 'among', least(own, other), greatest(own, other))").alias("grp"), "set", "label")
-    return links.unionByName(linked(across.unionByName(among)))
+    links = links.unionByName(linked(across.unionByName(among)))
+    release(docs.sparkSession, sets, mixed)
+    return links
 
 
 def ngram_components(docs: DataFrame, percent: int = 75, words: int = 5, block: int = BLOCK) -> DataFrame:
