@@ -254,3 +254,85 @@ def test_chunk_ends_and_overlaps():
     long = " ".join(["word"] * 130 + ["cut,"] + ["word"] * 90)
     assert [n for *_, n in corpus.sentence_units(long)] == [100, 100, 21]
     assert [n for *_, n in corpus.sentence_units(" ".join(["word"] * 59 + ["cut,"] + ["word"] * 60))] == [60, 60]
+
+
+def test_contexts(spark):
+    from corvane.operators import audit
+
+    text = "alpha beta gamma the total number of cases delta epsilon zeta"
+    at = text.index("number")
+    row = spark.createDataFrame([(text, at, at + 6)], "t string, a int, b int").select(
+        audit.word_context(F.col("t"), F.col("a"), F.col("b"), 2).alias("w"), audit.char_context(F.col("t"), F.col("a"), F.col("b"), 8).alias("c"),
+        audit.char_context(F.col("t"), F.col("a"), F.col("b"), 500).alias("all"), audit.standalone_number_count(F.col("t")).alias("n"),
+    ).first()
+    assert row.w == "the total [number] of cases" and row.c == "the total number of cases" and row.all == text and row.n == 0
+    rights = spark.createDataFrame([(" 5 of",), (" xvi.",), ("\n. 12",), (" mind",), (" ixe",), (None,)], "r string")
+    assert [r.x for r in rights.select(audit.third_rule(F.col("r")).alias("x")).collect()] == [True, True, True, False, False, False]
+    samples, blind = spark.createDataFrame([(1, 5), (2, 6)], "a int, b int"), spark.createDataFrame([(2, 6), (2, 6)], "a int, b int")
+    assert [tuple(r) for r in audit.not_blind(samples, blind, "a", "b").collect()] == [(1, 5)]
+
+
+TRIPLES = [
+    ("e1", "the court allowed the appeal of the tenant", "In this case the court allowed the appeal of the tenant and more.", "SUP", "factual_holding"),
+    ("e2", "relief under Section 302 of the Code", "relief under Section 420 of the Code", "CON", "legal_citation"),
+    ("e3", "the tenant paid the rent in full", "weather was fine that day everywhere", "NEI", "procedural_history"),
+    ("e4", "a second plain claim about rent", "a second plain claim about rent and its terms", "SUP", "factual_holding"),
+]
+
+
+def test_experiments(spark):
+    from corvane.operators import experiments
+
+    triples = spark.createDataFrame(TRIPLES, "example_id string, claim string, evidence string, gold_label string, claim_type string")
+    judged = experiments.verdicts(triples)
+    got = {r.example_id: r for r in judged.collect()}
+    assert (got["e1"].rouge, got["e1"].bm25, got["e1"].model) == ("SUPPORTED", "UNSUPPORTED", "SUPPORTED") and got["e3"].model == "UNSUPPORTED" and got["e2"].deterministic
+    grid = {r.system: r for r in evaluate.metrics(experiments.legal_check_grid(judged), "system").collect()}
+    assert set(grid) == {"model", "model_checked", "model_references", "model_checked_references"} and grid["model_references"].n == 1
+    assert (grid["model"].accuracy, grid["model_checked"].accuracy, grid["model_checked"].contradiction_recall) == (0.75, 1.0, 1.0)
+    assert {r.system for r in evaluate.metrics(experiments.ablations(judged), "system").collect()} == {"full", "no_checks", "no_model", "rouge_only"}
+    rows = experiments.degraded(triples, by=2)
+    assert {(r.example_id, r.evidence) for r in rows.where("condition = 'rotated'").collect()} == {("e1", TRIPLES[2][2]), ("e4", TRIPLES[3][2])}
+    shares = {r.condition: r for r in experiments.robustness(experiments.verdicts(rows)).collect()}
+    assert shares["gold"].supported == 1.0 and shares["empty"].supported == 0.0 and shares["rotated"].passes_safety is False and shares["gold"].passes_safety is None
+    report = {r.system: r.report for r in experiments.metrics_report(experiments.baselines(judged)).collect()}
+    assert "**Accuracy**: `75.00%`" in report["model"] and "| **SUPPORTED** | 0.6667 | 1.0000 | 0.8000 | 2 |" in report["model"] and "True_CON 1" in report["model"]
+
+
+def test_encoder(spark):
+    from corvane.operators import encode
+
+    rows = spark.createDataFrame([(1, "alpha beta alpha"), (2, "ALPHA alpha beta"), (3, ""), (4, None)], "id int, t string")
+    got = {r.id: r.vector for r in encode.encode(rows, "t").collect()}
+    assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-9 and got[3] == got[4] == [0.0] * 64
+
+
+def test_decompose_falls_back_to_rules(spark):
+    rows = spark.createDataFrame([(1, "One plain claim here."), (2, "Another plain claim here.")], "id int, t string")
+    ask = lambda df: df.withColumn("reply", F.when(F.col("id") == 1, '```json\n["A claim by the model.", "And one more."]\n```').otherwise("no list"))
+    got = sorted((r.id, r.claim_index, r.claim_text, r.method) for r in T.decompose(rows, "t", "id", method="llm", ask=ask).collect())
+    assert got == [(1, 1, "A claim by the model.", "llm"), (1, 2, "And one more.", "llm"), (2, 1, "Another plain claim here.", "rule_based")]
+    for method, asked in (("auto", None), ("rule_based", ask), ("unknown", ask)):
+        assert {r.method for r in T.decompose(rows, "t", "id", method=method, ask=asked).collect()} == {"rule_based"}
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    from corvane import sources
+    from corvane.sources import sinks
+
+    assert sources.prompt("Claims of: {input_text}", "x") == "Claims of: x"
+    rows = spark.createDataFrame([(1, None), (2, "5")], "id int, label string")
+    assert [r.label for r in sources.with_label(rows).orderBy("id").collect()] == [-1, 5]
+    assert sources.present(rows, "label", "other").columns == ["label"]
+    sinks.json_document(rows, str(tmp_path / "j"))
+    assert spark.read.text(str(tmp_path / "j")).first()[0] == '[{"id":1},{"id":2,"label":"5"}]'
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from corvane.sources import store
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        store.shared_dir(session)
