@@ -214,6 +214,13 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def ranges(first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, end to end, and the range that each is of."""
+    n = np.maximum(after - first, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) + np.repeat(first - (np.cumsum(n) - n), n), owner
+
+
 class UnionFind:
     """Disjoint sets over 0..n-1; the smallest member is the root."""
 
