@@ -30,8 +30,7 @@ Plan
    element always meet.
 5. Connected components of the links; the smallest doc_id names one.
 
-A group is split above BLOCK sets.  In the last round a pair under keys of up to BLOCK
-sets is compared under one of them.  In larger keys sets are dealt to parts of that size, and parts meet in groups of their own, so no task holds an unbounded
+A group is split above BLOCK sets.  In the last round sets are dealt to parts of that size, and parts meet in groups of their own, so no task holds an unbounded
 group: the largest component of a key against the others, and the others among
 themselves.  m sets of one component and s others ship (2 m s + s s) / BLOCK lists.
 
@@ -50,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import (
-    U64, UnionFind, batches_of, bucket_count, connected_components, deal, joined, materialise, mix64, pack, plan_bytes, ranges, release, runs, shingle_sets,
+    U64, UnionFind, batches_of, bucket_count, connected_components, deal, joined, materialise, mix64, pack, plan_bytes, release, runs, shingle_sets,
 )
 
 BLOCK = 512
@@ -284,29 +283,6 @@ def _block_links(percent: int):
     return run, "a long, b long"
 
 
-def _candidates(percent: int):
-    """Per bucket of keys: the pairs of sets under a key whose labels differ and whose sizes allow a link, once each, and a key of theirs."""
-
-    def run(table: pa.Table) -> pa.Table:
-        key, size, label, own = (table[c].to_numpy().astype(np.int64) for c in ("key", "size", "label", "set"))
-        order = np.lexsort((own, size, key))
-        key, size, label, own = key[order], size[order], label[order], own[order]
-        number = np.repeat(np.arange(len(runs(key))), np.diff(np.append(runs(key), len(key))))
-        after = np.searchsorted(number << 40 | size, number << 40 | 100 * size // percent, side="right")
-        found = [np.zeros((0, 3), np.int64)]
-        for cut in range(0, len(key), 1 << 13):
-            j, i = ranges(np.arange(cut, min(cut + (1 << 13), len(key))) + 1, after[cut : cut + (1 << 13)])
-            i += cut
-            i, j = i[label[i] != label[j]], j[label[i] != label[j]]
-            found.append(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j]), key[i]], axis=1))
-        pairs = np.concatenate(found)
-        pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[runs(pairs[:, 0], pairs[:, 1])]
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "key": pairs[:, 2]})
-
-    return run, "a long, b long, key long"
-
-
 def set_links(docs: DataFrame, percent: int = 75, words: int = 5, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between digests of distinct shingle sets; they span each component."""
     buckets = max(LEAST_BUCKETS, min(plan_bytes(docs) // BUCKET_BYTES, MOST_BUCKETS))
@@ -344,12 +320,7 @@ def set_links(docs: DataFrame, percent: int = 75, words: int = 5, block: int = B
     chosen = labelled(links).groupBy("key", "label").agg(F.min("set").alias("set"), F.max("n").alias("n"))
     links = links.unionByName(linked(chosen.select(spread.alias("grp"), "set", "label")))
     mixed = materialise(labelled(links), "mixed-keys")
-    # copies share most of their keys: in small keys a pair is compared under one key only, and a key's group holds the sets of its pairs
-    few = mixed.where(f"n <= {block}").join(sets.select("set", "size"), "set").select(F.expr(f"pmod(key, {wide})").alias("bucket"), "key", "set", "size", "label")
-    pair, schema_of_pairs = _candidates(percent)
-    pairs = few.groupBy("bucket").applyInArrow(pair, schema_of_pairs).groupBy("a", "b").agg(F.min("key").alias("grp"))
-    labels = mixed.select("set", "label").distinct()
-    chosen = pairs.select("grp", F.explode(F.array("a", "b")).alias("set")).distinct().join(labels, "set").select("grp", "set", "label")
+    small = mixed.where(f"n <= {block}").select(F.col("key").alias("grp"), "set", "label")
     # in a large key the sets of its largest component meet the other sets only, and those meet each other
     large = mixed.where(f"n > {block}")
     per_label = large.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -361,7 +332,7 @@ def set_links(docs: DataFrame, percent: int = 75, words: int = 5, block: int = B
     across = across.select(F.expr("xxhash64(key, 'across', if(is_big, own, other), if(is_big, other, own))").alias("grp"), "set", "label")
     among = rows.where("NOT is_big").select("*", F.explode(F.expr("sequence(0, small_parts - 1)")).alias("other"))
     among = among.select(F.expr("xxhash64(key, 'among', least(own, other), greatest(own, other))").alias("grp"), "set", "label")
-    links = links.unionByName(linked(chosen.unionByName(across).unionByName(among)))
+    links = links.unionByName(linked(small.unionByName(across).unionByName(among)))
     release(docs.sparkSession, sets, mixed)
     return links
 
