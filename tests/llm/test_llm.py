@@ -187,6 +187,32 @@ def test_line_dedup_tells_hash_twins_apart(spark):
     assert not any(r.dropped for r in line_dedup.dropped_lines(docs_of(spark, [line, twin])).collect())
 
 
+def test_line_links_in_slices(spark, monkeypatch):
+    """Groups worked off in many slices give the classes of one slice."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(200)]
+    base = [" ".join(rng.choices(words, k=24)) for _ in range(12)]
+    lines = sorted({"".join(rng.choice("xyz") if rng.random() < 0.03 else c for c in rng.choice(base)) for _ in range(120)})
+    wrote, write = [], line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: wrote.append(name) or write(df, name))
+    found = {}
+    for most in (1, 1 << 28):
+        wrote.clear()
+        table = write(spark.createDataFrame([(i, line_dedup.line_digest(x), x) for i, x in enumerate(lines)], "line long, digest binary, text string"), "lines")
+        pairs = [(r.a, r.b) for r in line_dedup.line_links(table, 16, most).collect()]
+        sets = common.UnionFind(len(lines))
+        for a, b in pairs:
+            sets.union(a, b)
+        found[most] = [sets.find(i) for i in range(len(lines))], wrote.count("line-links")
+    whole = common.UnionFind(len(lines))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if line_dedup.edits_within(*sorted((a, b), key=len), min(len(a), len(b)) // line_dedup.CHARS_PER_EDIT):
+                whole.union(i, j)
+    assert found[1][0] == found[1 << 28][0] == [whole.find(i) for i in range(len(lines))]
+    assert found[1][1] > found[1 << 28][1] == 3
+
+
 @pytest.mark.parametrize("block", [256, 40])
 def test_line_dedup_of_a_hot_segment(spark, block):
     """Many lines that share their first half and little else, with a few near copies among them."""
