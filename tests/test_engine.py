@@ -272,6 +272,26 @@ def test_contexts(spark):
     assert [tuple(r) for r in audit.not_blind(samples, blind, "a", "b").collect()] == [(1, 5)]
 
 
+def test_search_lists_a_document_once_and_scores_as_the_relational_plan(spark):
+    """A document that holds several of a query's few terms is one hit; common terms, added up as rows of numbers, score as rare ones."""
+    rng = random.Random(5)
+    words = ["the", "of", "rent", "court", *[f"w{i}" for i in range(60)]]
+    docs = [(i, " ".join(rng.choices(words, [30, 20, 9, 4, *[1] * 60], k=rng.randint(3, 40)))) for i in range(300)] + [(900, "solely unheard words")]
+    corpus_ = spark.createDataFrame(docs, "doc_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices(words, k=6))) for i in range(40)] + [(99, "unheard words"), (98, "the of"), (97, "the w3 the")], "q long, text string")
+    index = retrieve.bm25_index(corpus_, "doc_id", "text")
+    hits = [(r.query, r.key, r.score, r["rank"]) for r in retrieve.bm25_search(index, queries, "q", "text", 5).collect()]
+    want = [(r.query, r.key, r.score, r["rank"]) for r in retrieve.top_k(retrieve.bm25_scores(index, queries, "q", "text"), "query", "key", 5).collect()]
+    assert [h[:2] for h in hits if h[0] == 99] == [(99, 900)]
+    assert sorted(hits) == sorted(want)
+
+
+def test_references_are_read_where_the_claim_has_some(spark):
+    rows = spark.createDataFrame([("relief under Section 302", "Section 420 and AIR 1999 SC 12"), ("no reference", "Section 420"), ("AIR 1999 SC 12", "(2001) 3 SCC 44")], "c string, t string")
+    read = rows.select(legal.entities(F.col("t"), legal.entities(F.col("c"))).alias("e")).select("e.*").collect()
+    assert [(r.provisions, r.citations) for r in read] == [(["Section 420"], []), ([], []), ([], ["(2001) 3 SCC 44"])]
+
+
 def test_third_rule_bounds_words_as_its_sql(spark):
     """A numeral ends before a letter beyond ASCII, and blanks are those of the SQL's patterns."""
     import duckdb
