@@ -7,7 +7,7 @@
    that it writes in lower case, which names are not made of.
 3. Expectation-maximisation (two classes, labelers independent given the class)
    estimates each labeler's reliability and each candidate's probability from vote
-   patterns alone.  They come from a bounded sample of the corpus, and from a drawn
+   patterns alone.  They come from all texts, which are scanned once, and from a drawn
    seed corpus (SEED_ROWS sentences of a fixed seed, without labels), so that every
    kind of candidate occurs, personal and not.
 4. A logistic span classifier is trained on features of the same candidates, weighted
@@ -33,14 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches_of
+from corvane.llm.common import batches_of, materialise, sized_broadcast
 from corvane.llm.secrets import as_joined, count_kind
 from corvane.llm.spans import Span, base_spans, free_of, in_order
 
 KINDS = ["email", "ip", "card", "phone", "number", "iban", "handle", "name"]
-SAMPLE_ROWS = 4_000  # bound of the texts whose candidates train the classifier
 SEED_ROWS = 3_000
-GAZETTEER_WORDS = 50_000  # bound of each gazetteer
 THRESHOLD = 0.8
 EM_ROUNDS = 100
 
@@ -200,38 +198,67 @@ class SpanClassifier:
         return float(1 / (1 + np.exp(-np.dot(self.weights, features(text, span, self.known)))))
 
 
-def gazetteers(few: DataFrame) -> Gazetteers:
-    """From a bounded sample of texts; at most GAZETTEER_WORDS of each reach the driver, the most frequent first."""
-    words = few.select(F.explode_outer(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+")).alias("w")).where("length(w) > 1 AND w = lower(w)")
-    domains = few.select(F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"), F.lit(1))).alias("w")).select(F.lower("w").alias("w")).where("w IS NOT NULL")
-    top = lambda df, least: {r["w"] for r in df.groupBy("w").count().where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(GAZETTEER_WORDS).collect()}
+_FOUND = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("at", pa.int64()), ("near", pa.string())])
+NEAR = (30, 16)  # characters before and after a candidate that labelers look at
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, found: every text's candidates with what stands round them (the candidate from `at` on in `near`), written down once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches):
+            out = []
+            for text in batch.column("text").to_pylist():
+                base, more = candidates(text or "")
+                out.append([{"kind": k, "start": a, "end": b, "base": i < len(base), "at": min(a, NEAR[0]), "near": text[max(0, a - NEAR[0]) : b + NEAR[1]]} for i, (k, a, b) in enumerate(base + more)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(_FOUND))], names=["doc_id", "found"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long,base:boolean,at:long,near:string>>")
+    return materialise(rows, "pii-candidates")
+
+
+def near_span(c: dict) -> tuple[str, Span]:
+    """A candidate as labelers see it: what stands round it, and its span there."""
+    return c["near"], (c["kind"], c["at"], c["at"] + c["end"] - c["start"])
+
+
+def gazetteers(docs: DataFrame, found: DataFrame) -> Gazetteers:
+    """From all texts: what candidates can be looked up by.  The driver gets the words of names that some text writes in lower case, and repeated mail domains."""
+    each = found.select(F.explode_outer("found").alias("c")).where("c IS NOT NULL").select("c.kind", F.expr("lower(substring(c.near, c.at + 1, c.end - c.start))").alias("own"))
+    asked = each.where("kind = 'name'").select(F.explode_outer(F.split("own", "[ -]")).alias("w")).where("w <> ''").distinct()
+    words = docs.select(F.explode_outer(F.split("text", r"[^\p{L}]+")).alias("w")).where("length(w) > 1 AND w = lower(w)")
+    common = words.join(sized_broadcast(asked, 64), "w", "left_semi").distinct()
+    domains = each.where("kind = 'email'").select(F.substring_index("own", "@", -1).alias("w")).groupBy("w").count().where("count > 1")
     seeds = {w for t in seed_texts() for w in re.findall(r"\b[a-z]{2,}\b", re.sub(r"@\S+", "", t))}
-    return Gazetteers(top(words, 1) | seeds, top(domains, 2))
+    return Gazetteers({r["w"] for r in common.collect()} | seeds, {r["w"] for r in domains.collect()})
+
 
+def train(docs: DataFrame, found: DataFrame) -> SpanClassifier:
+    """Fit on the candidates of all texts (found: see scanned) and of the seed corpus; they meet as counts of (votes, features)."""
+    known = gazetteers(docs, found)
 
-def train(docs: DataFrame, most_rows: int = SAMPLE_ROWS) -> SpanClassifier:
-    """Fit on the candidates of at most about most_rows texts, chosen by a hash of doc_id, and of the seed corpus; they meet as counts of (votes, features)."""
-    total = docs.count()
-    few = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < (1 << 20) * min(1.0, most_rows / max(total, 1))).select("text")
-    known = gazetteers(few)
+    def count(text: str, span: Span, seen: Counter) -> None:
+        seen[votes(text, span, known), tuple(round(x, 1) for x in features(text, span, known))] += 1
 
-    def counted(texts: list[str | None], seen: Counter) -> None:
+    def counted(texts: list[str], seen: Counter) -> None:
         for text in texts:
-            base, more = candidates(text or "")
+            base, more = candidates(text)
             for s in base + more:
-                seen[votes(text, s, known), tuple(round(x, 1) for x in features(text, s, known))] += 1
+                count(text, s, seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            counted(batch.column("text").to_pylist(), seen)
+            for own in batch.column("found").to_pylist():
+                for c in own:
+                    count(*near_span(c), seen)
         yield pa.RecordBatch.from_arrays([pa.array([list(v) for v, _ in seen], pa.list_(pa.int32())), pa.array([list(f) for _, f in seen], pa.list_(pa.float64())), pa.array(list(seen.values()), pa.int64())], names=["votes", "features", "n"])
 
-    rows = few.mapInArrow(run, "votes array<int>, features array<double>, n long").groupBy("votes", "features").agg(F.sum("n").alias("n")).collect()
+    rows = found.select("found").mapInArrow(run, "votes array<int>, features array<double>, n long").groupBy("votes", "features").agg(F.sum("n").alias("n")).collect()
     seen: Counter = Counter()
     counted(seed_texts(), seen)
     # the corpus may hold one kind a thousand times over: no pattern weighs more than the seed corpus
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["votes"], r["features"])):
         seen[tuple(r["votes"]), tuple(r["features"])] += min(r["n"], SEED_ROWS)
     patterns: dict[tuple[int, ...], float] = {}
     for (v, _), n in seen.items():
@@ -246,25 +273,24 @@ def train(docs: DataFrame, most_rows: int = SAMPLE_ROWS) -> SpanClassifier:
     return SpanClassifier(w, known)
 
 
-def pii_spans(docs: DataFrame, model: SpanClassifier, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, spans array<struct<kind, start, end, base>> in order."""
+def pii_spans(found: DataFrame, model: SpanClassifier, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, spans array<struct<kind, start, end, base>> in order, of the candidates that scanned() found."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches):
+        for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                base, more = candidates(text or "")
-                added = [s for s in more if model.probability(text, s) >= threshold]
-                own = set(base)
-                out.append([{"kind": s[0], "start": s[1], "end": s[2], "base": s in own} for s in in_order(base + added, KINDS)])
+            for own in batch.column("found").to_pylist():
+                kept = {(c["kind"], c["start"], c["end"]): c["base"] for c in own if c["base"] or model.probability(*near_span(c)) >= threshold}
+                out.append([{"kind": s[0], "start": s[1], "end": s[2], "base": kept[s]} for s in in_order(list(kept), KINDS)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(span))], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return found.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    found = pii_spans(docs, train(docs))
+    rows = scanned(docs)
+    found = pii_spans(rows, train(docs, rows))
     base = F.filter("spans", lambda s: s["base"])
     return found.select("doc_id", *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in KINDS[:4]], F.sha2(as_joined(base), 256).alias("base_sha256"), as_joined(F.col("spans")).alias("spans"))

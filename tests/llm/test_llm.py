@@ -618,6 +618,21 @@ PII_TEXTS = [
 ]
 
 
+def test_pii_learns_from_every_text(spark):
+    """Gazetteers hold what any text says, however many there are, and labelers see in what was kept what they see in the text."""
+    texts = [f"plain text number {i} here" for i in range(9000)]
+    texts[17], texts[4711], texts[8500] = "A zuvelo and more.", "Dear Zuvelo Marketh, mail a@rare.example", "marketh; b@rare.example and Mr. Zuvelo Marketh."
+    docs = docs_of(spark, texts)
+    found = pii.scanned(docs)
+    known = pii.gazetteers(docs, found)
+    assert {"zuvelo", "marketh"} <= known.common and known.domains == {"rare.example"}
+    seen = [(r.doc_id, *pii.near_span(c.asDict())) for r in found.collect() for c in r.found]
+    whole = [(i, t, s) for i, t in enumerate(texts) for s in sum(pii.candidates(t), [])]
+    assert len(seen) == len(whole) == 4
+    pick = lambda rows: sorted((i, pii.votes(t, s, known), pii.features(t, s, known)) for i, t, s in rows)
+    assert pick(seen) == pick(whole)
+
+
 def test_pii(spark):
     docs = docs_of(spark, PII_TEXTS)
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
