@@ -30,17 +30,20 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import connected_components, materialise, sized_broadcast
+from corvane.llm.common import connected_components, materialise, release, sized_broadcast
 
 BLOCKS = 4
 GRID = 3
 PART = 4096
+SLICE_BYTES = 1 << 30  # vectors that a slice may ship, where all of them have less than half of it
+ROW_BYTES = 64  # of a shipped vector besides its numbers
 SEED = 11
 SLACK = 1e-5  # of squared distances in single precision; candidates are verified in double
 
@@ -161,21 +164,38 @@ def _counted(cosine: float):
     return run, "rep long, partners long, other long"
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, part: int = PART) -> DataFrame:
-    """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, part: int = PART, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
+
+    Parts of cells are worked off in slices, each of which ships slice_bytes or twice the vectors, whichever is more, so the disk in
+    use grows with the vectors and not with the square of a cell's.
+    """
     rows = materialise(_rows(vectors).withColumn("digest", F.xxhash64("v")), "vectors")
     classes = rows.where("v IS NOT NULL").groupBy("digest", "v").agg(F.min("row").alias("rep"), F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = materialise(classes, "vector-classes")
     cells = _cells(classes, cosine)
     where = ["dim", "block", "cell"]
     counts = cells.groupBy(*where, "probe").count()
-    shape = counts.groupBy(*where).agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("probe") == p, F.col("count"))), F.lit(0)) / size).cast("int").alias(n) for p, n, size in ((False, "n_index", part), (True, "n_probe", 4 * part))])
-    live = sized_broadcast(materialise(shape.where("n_index > 0 AND n_probe > 0"), "vector-cells"), 64)
+    shape = counts.groupBy(*where).agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("probe") == p, F.col("count"))), F.lit(0)) / size).cast("int").alias(n) for p, n, size in ((False, "n_index", part), (True, "n_probe", 4 * part))], *[F.sum(F.when(F.col("probe") == p, F.col("count"))).alias(n) for p, n in ((False, "indexed"), (True, "probes"))])
+    shape = materialise(shape.where("n_index > 0 AND n_probe > 0"), "vector-cells")
+    live = sized_broadcast(shape, 64)
+    width = 4 if "float" in classes.schema["v"].dataType.simpleString() else 8
+    shipped = shape.agg(F.sum((F.col("indexed") * F.col("n_probe") + F.col("probes") * F.col("n_index")) * (width * F.col("dim") + ROW_BYTES))).first()[0] or 0
+    held = classes.agg(F.sum(width * F.size("v") + ROW_BYTES)).first()[0] or 0
+    slices = max(1, -(-shipped // max(slice_bytes, 2 * held)))
     own, other = F.expr("pmod(xxhash64(rep), if(probe, n_probe, n_index))"), F.expr("explode(sequence(0, if(probe, n_index, n_probe) - 1)) AS other")
     sized = cells.join(live, where).select("*", own.alias("own"), other)
     key = F.expr("xxhash64(dim, block, cell, if(probe, other, own), if(probe, own, other))")
     run, schema = _counted(cosine)
-    found = materialise(sized.select(key.alias("grp"), "dim", "block", "probe", "home", "rep", "size", "v").groupBy("grp").applyInArrow(run, schema), "vector-links")
+    sized = sized.select(key.alias("grp"), "dim", "block", "probe", "home", "rep", "size", "v")
+    parts = []
+    for i in range(slices):
+        some = sized.where(f"pmod(grp, {slices}) = {i}") if slices > 1 else sized
+        parts.append(materialise(some.groupBy("grp").applyInArrow(run, schema), "vector-links"))
+        del some
+        if slices > 1:
+            release(vectors.sparkSession)
+    found = reduce(DataFrame.unionByName, parts)
     partners = found.groupBy("rep").agg(F.sum("partners").alias("partners"))
     roots = connected_components(found.selectExpr("rep AS a", "other AS b")).withColumnsRenamed({"node": "rep"})
     known = classes.select("digest", "rep", F.col("v").alias("cv"), "size", "least").join(partners, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -678,6 +678,22 @@ def test_embedding_join(spark, part):
     assert embedding_join.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_embedding_join_in_slices(spark, monkeypatch):
+    """Parts of cells worked off in slices give the links of one slice."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 24))
+    rows = [(i, (base[i % 40] + 0.15 * rng.standard_normal(24)).tolist()) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    wrote, write = [], embedding_join.materialise
+    monkeypatch.setattr(embedding_join, "materialise", lambda df, name: wrote.append(name) or write(df, name))
+    got = {}
+    for most in (1 << 14, 1 << 30):
+        wrote.clear()
+        got[most] = sorted(map(tuple, embedding_join.near_duplicates(frame, part=16, slice_bytes=most).collect())), wrote.count("vector-links")
+    assert got[1 << 14][0] == got[1 << 30][0] and sum(r[1] for r in got[1 << 30][0]) > 0
+    assert got[1 << 14][1] > got[1 << 30][1] == 1
+
+
 def test_embedding_join_of_all_sizes_and_lengths(spark):
     """Components up to 1e200 and down to 1e-200, vectors of other lengths, shared and null ids."""
     rows = [(0, [1e200, 1e200]), (1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0]), (5, [1.0, 2.0, 3.0]), (6, [2.0, 4.0, 6.0]), (7, [5.0]), (8, [9.0]), (9, [-5.0]), (10, [0.0, 3.0, 0.0, 0.0, 1.0]), (10, [1.0, 0.0, 0.0, 7.0, 0.0]), (None, [1.0, 2.0, 3.01])]
