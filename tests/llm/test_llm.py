@@ -213,6 +213,33 @@ def test_line_links_in_slices(spark, monkeypatch):
     assert found[1][1] > found[1 << 28][1] == 3
 
 
+def test_edits_within_a_word_band():
+    """Many pairs at a time, up to 62 edits: one machine word is enough, for lines of other lengths and shifted ones too."""
+    rng = random.Random(6)
+    a, b, k = [], [], []
+    for _ in range(600):
+        x = "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(1, 200)))
+        y = edited(rng, x, rng.randint(0, 70)) if rng.random() < 0.5 else x[rng.randint(0, 62) :] + edited(rng, "abcdefgh" * 8, 9)[: rng.randint(0, 62)]
+        x, y = sorted((x, y), key=len)
+        a, b, k = a + [x], b + [y], k + [rng.randint(0, 62)]
+    assert line_dedup.WORD_EDITS == 62
+    assert line_dedup.pairs_within(a, b, k).tolist() == [distance(x, y) <= e for x, y, e in zip(a, b, k, strict=True)]
+
+
+def test_line_join_ships_no_text_of_far_lines(spark, monkeypatch):
+    """Lines that share a segment and whose letters are too far apart meet as numbers: the texts of near ones alone are dealt, a pair once."""
+    rng = random.Random(18)
+    head = "This file is part of the common notice of all files, and it says: "
+    lines = [head + "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(60, 120))) for _ in range(200)]
+    wrote, write = {}, line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: wrote.setdefault(name, []).append(out := write(df, name)) or out)
+    monkeypatch.setattr(line_dedup, "release", lambda *_: None)
+    table = write(spark.createDataFrame([(i, line_dedup.line_digest(x), x) for i, x in enumerate(lines)], "line long, digest binary, text string"), "lines")
+    assert line_dedup.line_links(table).count() == 0
+    assert wrote["line-groups"][0].count() > 200
+    assert len(wrote["line-pairs"]) == 3 and [x.count() < 100 for x in wrote["line-held"][1:]] == [True, True]
+
+
 @pytest.mark.parametrize("block", [256, 40])
 def test_line_dedup_of_a_hot_segment(spark, block):
     """Many lines that share their first half and little else, with a few near copies among them."""
