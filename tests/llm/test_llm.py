@@ -240,6 +240,21 @@ def test_line_join_ships_no_text_of_far_lines(spark, monkeypatch):
     assert len(wrote["line-pairs"]) == 3 and [x.count() < 100 for x in wrote["line-held"][1:]] == [True, True]
 
 
+def test_line_join_passes_lines_not_pairs(spark, monkeypatch):
+    """Many lines of the same letters that don't link: what leaves a group's task follows its lines, not their pairs; the few links are found."""
+    rng = random.Random(19)
+    head, words = "This file is part of the common notice of all files, and it says: ", ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(12)]
+    lines = [head + " ".join(rng.sample(words, 12)) for _ in range(150)]
+    lines += [edited(rng, x, 3) for x in lines[:10]]
+    wrote, write = {}, line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: wrote.setdefault(name, []).append(out := write(df, name)) or out)
+    monkeypatch.setattr(line_dedup, "release", lambda *_: None)
+    table = write(spark.createDataFrame([(i, line_dedup.line_digest(x), x) for i, x in enumerate(lines)], "line long, digest binary, text string"), "lines")
+    roots = {r.node: r.root for r in common.connected_components(line_dedup.line_links(table)).collect()}
+    assert [roots.get(i, i) for i in range(160)] == [*range(150), *range(10)]
+    assert 0 < max(x.count() for x in wrote["line-pairs"]) < 10 * len(lines)
+
+
 @pytest.mark.parametrize("block", [256, 40])
 def test_line_dedup_of_a_hot_segment(spark, block):
     """Many lines that share their first half and little else, with a few near copies among them."""
