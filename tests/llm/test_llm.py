@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,60 @@ def test_line_join_passes_lines_not_pairs(spark, monkeypatch):
     assert 0 < max(x.count() for x in wrote["line-pairs"]) < 10 * len(lines)
 
 
+def met_lines(lines, buckets=3):
+    """Pairs of lines that meet in a key bucket of the line join, listed or in a group."""
+    found = [(np.asarray(line), key, place, np.minimum(line_dedup.size_band(size), 255)) for line, key, place, size in line_dedup.line_entries(pa.array(lines))]
+    line, key, place, band = (np.concatenate(x) for x in zip(*found, strict=True))
+    met = set()
+    for b in range(buckets):
+        mine = key % np.uint64(buckets) == b
+        keys = (key[mine] // np.uint64(buckets)).astype(np.uint32) << np.uint32(8) | band[mine].astype(np.uint32)
+        cell = pa.table({"keys": [keys.tobytes()], "lines": [line[mine].astype(np.uint16).tobytes()], "places": [place[mine].tobytes()], "chunk": [0]})
+        out, groups = line_dedup._met(cell, 2).to_pylist(), {}
+        for r in out:
+            if r["pairs"]:
+                met |= {tuple(x) for x in np.frombuffer(r["pairs"], np.int64).reshape(-1, 2).tolist()}
+            else:
+                groups.setdefault(r["grp"], []).append(r["line"])
+        met |= {x for own in groups.values() for x in itertools.combinations(sorted(own), 2)}
+    return met
+
+
+def test_lines_that_link_meet():
+    """As many edits as are allowed, spread evenly, by chance or at one end; of one kind or mixed; also where all is one dense group or a line repeats itself."""
+    rng = random.Random(20)
+    lines = []
+    for size in [24, 25, 47, 48, 49, 50, 71, 72, 73, 96, 120, 240, 263, 600, 1200]:
+        for base in ("".join(rng.choice("abcdefgh é€") for _ in range(size)), ("ab " * size)[:size], "".join(rng.choice("abcdefgh ") for _ in range(size))):
+            lines.append(base)
+            for kind in ("s", "i", "d", "sid"):
+                for spread in ("even", "chance", "start", "end"):
+                    k, out = size // 24, list(base)
+                    at = {"even": [(2 * i + 1) * size // (2 * k) for i in range(k)], "chance": rng.sample(range(size), k), "start": range(k), "end": range(size - k, size)}[spread]
+                    for i in sorted(at, reverse=True):
+                        how = rng.choice(kind)
+                        out[i : i + (how != "i")] = "" if how == "d" else rng.choice("xyzü")
+                    lines.append("".join(out))
+    lines = list(dict.fromkeys(x for x in lines if len(x) >= 24))
+    near = [(i, j) for i, a in enumerate(lines) for j in range(i + 1, len(lines)) if line_dedup.edits_within(*sorted((a, lines[j]), key=len), min(len(a), len(lines[j])) // 24)]
+    assert len(near) > 500
+    assert set(near) <= met_lines(lines)
+
+
+def test_lines_far_in_size_or_place_do_not_meet(spark, monkeypatch):
+    """A phrase that many lines share, each at another place or in a line of another size, makes none of them meet."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    lines = [word(60 + 60 * i) + "all the lines of this text share these words" + word(60 * (7 - i)) for i in range(8)]
+    lines += ["all the lines of this text share these words" + word(40 * 2**i) for i in range(6)]
+    wrote, write = {}, line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: wrote.setdefault(name, []).append(out := write(df, name)) or out)
+    monkeypatch.setattr(line_dedup, "release", lambda *_: None)
+    table = write(spark.createDataFrame([(i, line_dedup.line_digest(x), x) for i, x in enumerate(lines)], "line long, digest binary, text string"), "lines")
+    assert line_dedup.line_links(table).count() == 0
+    assert wrote["line-groups"][0].count() == 0
+
+
 @pytest.mark.parametrize("block", [256, 40])
 def test_line_dedup_of_a_hot_segment(spark, block):
     """Many lines that share their first half and little else, with a few near copies among them."""
