@@ -224,6 +224,30 @@ def test_block_search_equals_scoring_all(spark, monkeypatch, rows):
     assert sorted(map(tuple, got.select("query", "key", "score", "rank").collect())) == sorted(map(tuple, all_.select("query", "key", "score", "rank").collect()))
 
 
+def shuffled_rows(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_search_prunes_exactly_and_deals_no_query_to_every_block(spark, monkeypatch):
+    """With many blocks, what is dealt is each block's best of a query, not the query's terms; rows that share a key are one document."""
+    monkeypatch.setattr(retrieve, "FEW", 0, raising=False)
+    monkeypatch.setattr(retrieve, "SEEDS", 7, raising=False)
+    monkeypatch.setattr(retrieve, "BLOCK_POSTINGS", 500)
+    rng = random.Random(11)
+    words = [f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(40_000)]
+    docs = spark.createDataFrame([(i % 990, " ".join(rng.choices(words, k=rng.randint(1, 60)))) for i in range(1000)], "key long, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=20))) for i in range(300)], "q long, text string")
+    index = retrieve.bm25_index(docs, "key", "text")
+    want = retrieve.top_k(retrieve.bm25_scores(index, asked, "q", "text"), "query", "key", 1).select("query", "key", "score", "rank").collect()
+    before = shuffled_rows(spark)
+    got = retrieve.bm25_search(index, asked, "q", "text", 1).select("query", "key", "score", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert shuffled_rows(spark) - before < 100_000  # 5,000 terms of queries; 40 blocks and more
+
+
 def test_stored_index(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "alpha beta"), ("d2", "gamma delta"), ("d3", "other words")], "doc_id string, text string")
     retrieve.bm25_index(docs, "doc_id", "text").save(str(tmp_path / "index"))
