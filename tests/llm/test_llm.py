@@ -256,6 +256,30 @@ def test_line_join_passes_lines_not_pairs(spark, monkeypatch):
     assert 0 < max(x.count() for x in wrote["line-pairs"]) < 10 * len(lines)
 
 
+def test_line_join_puts_a_part_together_before_the_next(spark, monkeypatch):
+    """What meets in one part of the keys is gone from disk when the next part's entries are dealt, letters are held in slices, and classes are as in one part."""
+    rng = random.Random(20)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 200))) for _ in range(40)]
+    lines += [edited(rng, x, 2) for x in lines for _ in range(2)]
+    write, there, most = line_dedup.materialise, set(), {}
+
+    def written(df, name):
+        there.add((name, (out := write(df, name)).written_to))
+        most[name] = max(most.get(name, 0), sum(n == name for n, _ in there))
+        return out
+
+    let_go = line_dedup.release
+    monkeypatch.setattr(line_dedup, "materialise", written)
+    monkeypatch.setattr(line_dedup, "release", lambda spark, *tables: there.difference_update([x for x in there if x[1] in [t.written_to for t in tables]]) or let_go(spark, *tables))
+    table = lambda: write(spark.createDataFrame([(i, line_dedup.line_digest(x), x) for i, x in enumerate(lines)], "line long, digest binary, text string"), "lines")
+    one = {r.node: r.root for r in common.connected_components(line_dedup.line_links(table())).collect()}
+    monkeypatch.setattr(line_dedup, "HALVED", 0)
+    there.clear()
+    most.clear()
+    assert {r.node: r.root for r in common.connected_components(line_dedup.line_links(table(), slice_bytes=1 << 13)).collect()} == one
+    assert len(one) >= 100 and most["line-groups"] == 1 and most["line-pairs"] > 1
+
+
 def met_lines(lines, buckets=3):
     """Pairs of lines that meet in a key bucket of the line join, listed or in a group."""
     found = [(np.asarray(line), key, place, np.minimum(line_dedup.size_band(size), 255)) for line, key, place, size in line_dedup.line_entries(pa.array(lines))]
